@@ -91,3 +91,24 @@ def batches(it: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Recor
     for b in it:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+class Output:
+    """A file under another name until close(), which moves it into place."""
+
+    def __init__(self, uri: str):
+        self._fs, self._path = open_fs(uri)
+        self._fs.create_dir(self._path.rpartition("/")[0], recursive=True)
+        self._part = f"{self._path}.{uuid.uuid4().hex}"
+        self._out, self.size = self._fs.open_output_stream(self._part), 0
+
+    def write(self, data: bytes) -> int:
+        """Returns the offset at which data begins."""
+        at = self.size
+        self._out.write(data)
+        self.size += len(data)
+        return at
+
+    def close(self) -> None:
+        self._out.close()
+        self._fs.move(self._part, self._path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import wavelet
+from . import compression, rules, simhash, warc, wavelet
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,8 +24,33 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.encode_shards(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER)))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture, read back from the archives by way of the capture index."""
+    return warc.read(warc.index(warc.write(table(spark, sf_dir, "pages"))))
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule features and verdicts of every document, its host's verdict included."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"))
+    if model is None:
+        raise ValueError("too few labels of either class to learn from")
+    return compression.score(docs, model)
+
+
+def op8_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and the class of near copies it is in."""
+    got = simhash.classes(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_wavelet": op1_wavelet}
+    return {f.__name__: f for f in (op1_wavelet, op3_warc, op6_host_rules, op7_compression, op8_deletion_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
