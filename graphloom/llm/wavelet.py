@@ -15,6 +15,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,18 +35,20 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     """The file of a shard: ids of all its documents in order, and each document's number of ids."""
     ids = np.asarray(ids, np.uint32)
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    s = ids.astype(np.uint16) if levels <= 16 else ids
+    s = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     pack, out, place = zstandard.ZstdCompressor(level=1), [MAGIC], len(MAGIC)
     zeros, sizes, ones = [], [], []
     for level in range(levels - 1, -1, -1):
-        m = ((s >> level) & 1).astype(bool)
-        zeros.append(int(len(s) - np.count_nonzero(m)))
+        m = (s & s.dtype.type(1 << level)) != 0
         for k in range(0, len(m), BLOCK_BITS):
             part = m[k : k + BLOCK_BITS]
             out.append(frame := pack.compress(np.packbits(part).tobytes()))
             sizes.append(len(frame))
             ones.append(int(np.count_nonzero(part)))
-        s = np.concatenate((s[~m], s[m]))
+        ones_here = s[m]
+        zeros.append(len(s) - len(ones_here))
+        s[: zeros[-1]] = s[~m]
+        s[zeros[-1] :] = ones_here
     head = io.BytesIO()
     np.savez(
         head,
@@ -147,8 +150,8 @@ class Shard:
             up = np.empty_like(s)
             zeros = int(self.zeros[level])
             up[~m] = s[:zeros]
-            up[m] = s[zeros:]
-            s = up | (m.astype(s.dtype) << (self.levels - 1 - level))
+            up[m] = s[zeros:] | s.dtype.type(1 << (self.levels - 1 - level))
+            s = up
         return s.astype(np.uint32)
 
     def close(self) -> None:
@@ -159,7 +162,9 @@ class _Chunks(dict):
     """Ids of the chunks between spaces and line ends, as the tokenizer gives them, two generations deep.
 
     The tokenizer's normalizer composes, folds white space and lower-cases letter by letter and its
-    pre-tokenizer drops white space, so a chunk's ids don't depend on what stands around it.
+    pre-tokenizer drops white space, so a chunk's ids don't depend on what stands around it.  Where letters
+    are a token of their own, points after them are looked up apart, and words of Latin letters, which
+    composing leaves as they are, go to the tokenizer's model at once.
     """
 
     def __init__(self, path: str, most: int):
@@ -168,25 +173,45 @@ class _Chunks(dict):
 
         self._tok, self._most, self._old = Tokenizer.from_file(path), most, {}
         said = json.loads(self._tok.to_str())
-        # where a run of letters and a run of signs are tokens of their own, points after letters can be cut off
-        self._split = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in json.dumps(said["pre_tokenizer"]).replace("\\\\", "\\")
-        self._lower = "Lowercase" in json.dumps(said["normalizer"])
+        steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+        letters = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and steps[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        lower = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self._plain = letters and lower and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and said["model"]["type"] == "BPE"
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
+        rest = [x for x in range(256) if x not in shown]
+        self._bytes = {x: chr(256 + k) for k, x in enumerate(rest)}
 
     def __missing__(self, chunk: str) -> bytes:
         if (got := self._old.get(chunk)) is None:
-            core = chunk.rstrip(".,")
-            tail = chunk[len(core) :]
-            key = core.lower() if self._lower and core.isascii() else core
-            if self._split and key != chunk and core.isalpha():
-                got = self[key] + (self[tail] if tail else b"")
-            else:
-                got = np.array(self._tok.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes() if chunk else b""
+            got = self._ids(chunk) if chunk else b""
         if len(self) >= self._most:
             self._old = dict(self)
             self.clear()
         self[chunk] = got
         return got
 
+    def _ids(self, chunk: str) -> bytes:
+        if self._plain:
+            core = chunk.rstrip(".,")
+            key = core.lower()
+            if key.isalpha() and max(key) < "\u0250" and max(core) < "\u0250":
+                if key != chunk:
+                    return self[key] + self[chunk[len(core) :]]
+                shown = key if key.isascii() else key.encode().decode("latin-1").translate(self._bytes)
+                return array("I", [x.id for x in self._tok.model.tokenize(shown)]).tobytes()
+        return array("I", self._tok.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+
+_chunks: dict[tuple[str, int], _Chunks] = {}
+
+
+def chunks_of(path: str, most: int) -> _Chunks:
+    """A worker keeps what it has learnt from one task to the next."""
+    if (path, most) not in _chunks:
+        _chunks.clear()
+        _chunks[path, most] = _Chunks(path, most)
+    return _chunks[path, most]
+
 
 def tokens_of(texts: Iterable[str], chunks: _Chunks, end: int) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, with the end id."""
@@ -195,7 +220,7 @@ def tokens_of(texts: Iterable[str], chunks: _Chunks, end: int) -> Iterator[bytes
         yield b"".join(map(of, x.replace("\n", " ").split(" "))) + last
 
 
-def encode_shards(docs: DataFrame, tokenizer: str, out_dir: str | None = None, end: int = 1, shard_tokens: int = 8_000_000, cache: int = 250_000) -> DataFrame:
+def encode_shards(docs: DataFrame, tokenizer: str, out_dir: str | None = None, end: int = 1, shard_tokens: int = 8_000_000, cache: int = 500_000) -> DataFrame:
     """Encode every whole text and write wavelet shards in ascending doc_id order; returns the manifest.
 
     tokenizer: a file of the tokenizers library.  shard_tokens bounds a shard (one longer document makes a
@@ -208,7 +233,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, out_dir: str | None = None, e
 
     def write(it):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, chunks, k = TaskContext.get().partitionId(), _Chunks(tokenizer, cache), 0
+        part, chunks, k = TaskContext.get().partitionId(), chunks_of(tokenizer, cache), 0
         got: list[bytes] = []
         of: list[int | None] = []
         total = 0
