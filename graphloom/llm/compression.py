@@ -1,12 +1,14 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained on good and on bad labelled texts.  A text is cut into pieces of
-about a kilobyte, each piece is compressed with either dictionary, and the normalised difference of the
-sizes over the whole text, with the compressed share itself, goes through a logistic calibration.
+about a kilobyte, each piece is compressed with either dictionary and with none, and the normalised
+difference of the two sizes over the whole text, with the share that is left without a dictionary, goes
+through a logistic calibration.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,18 +36,21 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model, self._pack = model, []
-        for raw in (model.good, model.bad):
+        for raw in (model.good, model.bad, None):
+            if raw is None:
+                self._pack.append(zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False))
+                continue
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             self._pack.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def features(self, text: str) -> tuple[float, float]:
-        """(bad - good) / (bad + good) and good / length, of the whole text's compressed sizes."""
+        """(bad - good) / (bad + good) and plain / length, of the whole text's compressed sizes."""
         raw = text.encode()
         if not raw:
             return 0.0, 1.0
-        good, bad = (sum(len(pack.compress(raw[k : k + PIECE])) for k in range(0, len(raw), PIECE)) for pack in self._pack)
-        return (bad - good) / (bad + good), good / len(raw)
+        good, bad, plain = (sum(len(pack.compress(raw[k : k + PIECE])) for k in range(0, len(raw), PIECE)) for pack in self._pack)
+        return (bad - good) / (bad + good), plain / len(raw)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts], float).reshape(-1, 2)
@@ -58,7 +63,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _design(x: np.ndarray) -> np.ndarray:
     x = np.clip(x, -6, 6)
-    return np.column_stack([np.ones(len(x)), x, x[:, :1] ** 2, x[:, 1:] ** 2])
+    return np.column_stack([np.ones(len(x)), x, x**2, x[:, :1] * x[:, 1:]])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -99,8 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: i
     if min(map(len, texts.values())) < 8:
         return None
     made = []
+    times = Counter(line for q in (0, 1) for t in texts[q][::2] for line in set(t.split(b"\n")))
     for q in (1, 0):
-        pieces = [t[k : k + PIECE] for t in texts[q][::2] for k in range(0, len(t), PIECE)]
+        # a line that several documents share, a licence or a quotation, says nothing on quality
+        own = [b"\n".join(line for line in t.split(b"\n") if times[line] == 1) for t in texts[q][::2]]
+        pieces = [t[k : k + PIECE] for t in own for k in range(0, len(t), PIECE)]
         try:
             made.append(zstandard.train_dictionary(dict_bytes, pieces, level=LEVEL).as_bytes())
         except zstandard.ZstdError:  # too little text to train on: the pieces themselves
