@@ -75,7 +75,7 @@ def _within(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return pairs
 
 
-def links(fps: DataFrame, large: int = 256) -> DataFrame:
+def links(fps: DataFrame, large: int = 256, broadcast_keys: int = 500_000) -> DataFrame:
     """a, b: verified pairs of the distinct fingerprints fps (fp) within two bits, enough for all components."""
     keyed = _one_wildcard(fps)
     keys = stored(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
@@ -87,7 +87,10 @@ def links(fps: DataFrame, large: int = 256) -> DataFrame:
             got = [p for row in b.column("fps") for p in _within(row.values.to_numpy(zero_copy_only=False), 2)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], names=["a", "b"])
 
-    some = keyed.join(keys.where(f"n > 2 AND n <= {large}").select("k"), "k").groupBy("k").agg(F.collect_list("fp").alias("fps"))
+    shared = keys.where(f"n > 2 AND n <= {large}").select("k")
+    if shared.count() <= broadcast_keys:  # 8 bytes each; with more, both sides are shuffled
+        shared = F.broadcast(shared)
+    some = keyed.join(shared, "k").groupBy("k").agg(F.collect_list("fp").alias("fps"))
     found = found.unionByName(some.select("fps").mapInArrow(run, "a long, b long"))
     many = keys.where(f"n > {large}").select("k")
     if many.limit(1).count():
