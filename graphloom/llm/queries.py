@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, rules, simhash, warc, wavelet
+from . import compression, rules, runindex, simhash, warc, wavelet
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.index(warc.write(table(spark, sf_dir, "pages"))))
 
 
+def op4_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated strings of 400 bytes."""
+    return runindex.cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule features and verdicts of every document, its host's verdict included."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -50,7 +55,7 @@ def op8_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_warc, op6_host_rules, op7_compression, op8_deletion_variants)}
+    return {f.__name__: f for f in (op1_wavelet, op3_warc, op4_run_index, op6_host_rules, op7_compression, op8_deletion_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
