@@ -140,4 +140,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[st
 
     rows = text_rows(docs, *(F.col(c).alias(f"kept_{c}") for c in carry)).withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int").select("doc_id", "held_out", "score", "predicted", *(F.col(f"kept_{c}").alias(c) for c in carry))
+    return rows.mapInArrow(run, f"{schema}, score double, predicted int").select(*([] if "doc_id" in carry else ["doc_id"]), "held_out", "score", "predicted", *(F.col(f"kept_{c}").alias(c) for c in carry))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, rules, runindex, simhash, warc, wavelet
+from . import compression, hamming, packing, pieces, rules, runindex, simhash, spans, warc, wavelet
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +25,12 @@ def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.encode_shards(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER)))
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without sentences in runs of three that occurred before."""
+    got = spans.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_sentences", "n_removed", F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's capture, read back from the archives by way of the capture index."""
     return warc.read(warc.index(warc.write(table(spark, sf_dir, "pages"))))
@@ -34,6 +41,12 @@ def op4_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every hundredth embedding among all."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming.search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule features and verdicts of every document, its host's verdict included."""
     return rules.judge(table(spark, sf_dir, "documents"))
@@ -54,8 +67,18 @@ def op8_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its training sequence and place in it."""
+    return packing.pack(packing.measured(table(spark, sf_dir, "documents")))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids, by count and checksum, and whether they decode to the text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES)).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet, op3_warc, op4_run_index, op6_host_rules, op7_compression, op8_deletion_variants)}
+    return {f.__name__: f for f in (op1_wavelet, op2_sentence_spans, op3_warc, op4_run_index, op5_multi_index, op6_host_rules, op7_compression, op8_deletion_variants, op9_best_fit, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -82,4 +82,4 @@ def judge(docs: DataFrame, host: str = "source", most: float = 0.5, carry: tuple
     # few hosts are rejected; a host with a third of all rows is split by the join's own skew handling
     joined = measured.join(bad, F.col("host") == F.col("bad_host"), "left")
     kept = ~F.col("base_failed") & F.col("bad_host").isNull()
-    return joined.select("doc_id", *_NAMES, "base_failed", kept.alias("kept"), *(F.col(f"kept_{c}").alias(c) for c in carry))
+    return joined.select(*([] if "doc_id" in carry else ["doc_id"]), *_NAMES, "base_failed", kept.alias("kept"), *(F.col(f"kept_{c}").alias(c) for c in carry))

@@ -303,7 +303,7 @@ def covered(pieces: list, length: int) -> list[tuple[int, int]]:
 
 
 def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None, index_bytes: int = 1 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) of every row, and the columns in carry.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text that stays, without the bytes left of cut characters) of every row, and the columns in carry.
 
     Each byte that lies in ``length`` bytes which also start elsewhere, in this or another document, goes;
     first occurrences too.  Null text: no bytes.  Null doc_id, ties and repeated rows: each row is a
@@ -314,7 +314,7 @@ def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None
     owners = own(text_rows(docs)).withColumn("c", F.lit(1).cast("long"))
     spans = repeated_windows(owners, length, grams, index_bytes)
     each = spans.groupBy(F.col("o1").alias("w1"), F.col("o2").alias("w2")).agg(F.collect_set(F.struct("start", "windows", "runs")).alias("pieces"))
-    rows = own(text_rows(docs, *(F.col(c).alias(f"kept_{c}") for c in carry if c != "text")))
+    rows = own(text_rows(docs, *(F.col(c).alias(f"kept_{c}") for c in carry)))
     met = rows.join(each, (F.col("o1") == F.col("w1")) & (F.col("o2") == F.col("w2")), "left").drop("o1", "o2", "w1", "w2")
 
     def run(it):
@@ -328,11 +328,11 @@ def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None
                     kept.append(raw[at:a])
                     at = e
                 kept = b"".join([*kept, raw[at:]])
-                got.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                got.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             keep = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name not in ("text", "pieces")]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), *(pa.array([g[i] for g in got], t) for i, t in enumerate(kinds))], names=[*(n for n, _ in keep), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name not in ("text", "pieces"))
-    out = met.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"kept_{c}").alias(c) for c in carry if c != "text"))
+    out = met.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"kept_{c}").alias(c) for c in carry))
