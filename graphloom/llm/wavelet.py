@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -45,9 +46,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
             out.append(frame := pack.compress(np.packbits(part).tobytes()))
             sizes.append(len(frame))
             ones.append(int(np.count_nonzero(part)))
-        ones_here = s[m]
+        ones_here = np.compress(m, s)
         zeros.append(len(s) - len(ones_here))
-        s[: zeros[-1]] = s[~m]
+        s[: zeros[-1]] = np.compress(~m, s)
         s[zeros[-1] :] = ones_here
     head = io.BytesIO()
     np.savez(
@@ -149,8 +150,8 @@ class Shard:
             m = np.concatenate([self._bits(level, b, False) for b in range(self._per)]).astype(bool) if self.n else np.zeros(0, bool)
             up = np.empty_like(s)
             zeros = int(self.zeros[level])
-            up[~m] = s[:zeros]
-            up[m] = s[zeros:] | s.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~m)] = s[:zeros]
+            up[np.flatnonzero(m)] = s[zeros:] | s.dtype.type(1 << (self.levels - 1 - level))
             s = up
         return s.astype(np.uint32)
 
@@ -176,7 +177,7 @@ class _Chunks(dict):
         steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
         letters = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and steps[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         lower = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self._plain = letters and lower and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and said["model"]["type"] == "BPE"
+        self.plain = letters and lower and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and said["model"]["type"] == "BPE"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
         rest = [x for x in range(256) if x not in shown]
         self._bytes = {x: chr(256 + k) for k, x in enumerate(rest)}
@@ -191,7 +192,7 @@ class _Chunks(dict):
         return got
 
     def _ids(self, chunk: str) -> bytes:
-        if self._plain:
+        if self.plain:
             core = chunk.rstrip(".,")
             key = core.lower()
             if key.isalpha() and max(key) < "\u0250" and max(core) < "\u0250":
@@ -213,10 +214,17 @@ def chunks_of(path: str, most: int) -> _Chunks:
     return _chunks[path, most]
 
 
+_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]|<\|")
+
+
 def tokens_of(texts: Iterable[str], chunks: _Chunks, end: int) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, with the end id."""
     last, of = struct.pack("<I", end), chunks.__getitem__
     for x in texts:
+        # Latin text is lower-cased as a whole, and points and commas behind words are chunks of their own, so
+        # fewer chunks differ; not where a sign stands before them, which would be a token with them
+        if chunks.plain and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x) and not _SIGNS.search(x):
+            x = x.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
         yield b"".join(map(of, x.replace("\n", " ").split(" "))) + last
 
 
