@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, text_rows
+from .common import batches, stored, text_rows, width
 
 PIECE = 512  # windows in a segment, at most
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -249,7 +249,7 @@ def _indexed(cut: DataFrame, length: int, index_bytes: int) -> DataFrame:
         if texts:
             yield flush()
 
-    return cut.repartition("mh").sortWithinPartitions("mh", "sh").mapInArrow(run, "mh long, sh long, runs binary")
+    return cut.repartition(width(cut.sparkSession), "mh").sortWithinPartitions("mh", "sh").mapInArrow(run, "mh long, sh long, runs binary")
 
 
 def repeated_windows(owners: DataFrame, length: int, grams: tuple[int, ...], index_bytes: int) -> DataFrame:

@@ -233,4 +233,4 @@ def read(files: DataFrame, span: int = 8 << 20) -> DataFrame:
             file.close()
 
     spread = files.select("uri").repartition(width(spark)).mapInArrow(entries, "uri string, offset long, length long")
-    return spread.repartitionByRange("uri", "offset").sortWithinPartitions("uri", "offset").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.repartitionByRange(width(spark), "uri", "offset").sortWithinPartitions("uri", "offset").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
