@@ -13,7 +13,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -214,18 +213,28 @@ def chunks_of(path: str, most: int) -> _Chunks:
     return _chunks[path, most]
 
 
-_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]|<\|")
+# Latin-1: points and commas; letters, numbers and spaces; all others, which would be one token with a point behind
+_CLASSES = bytes(ord("." if c in ".," else "a" if c.isalnum() or c in " \t\n\x0b\x0c\r\x85\xa0" else "!") for c in map(chr, range(256)))
+
+
+def _plain(text: str) -> bool:
+    """Whether points and commas of a text in Latin-1 follow letters, numbers or spaces only."""
+    try:
+        kinds = text.encode("latin-1").translate(_CLASSES)
+    except UnicodeEncodeError:
+        return False
+    return b"!." not in kinds and b".." not in kinds and "<|" not in text
 
 
 def tokens_of(texts: Iterable[str], chunks: _Chunks, end: int) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, with the end id."""
     last, of = struct.pack("<I", end), chunks.__getitem__
     for x in texts:
-        # Latin text is lower-cased as a whole, and points and commas behind words are chunks of their own, so
-        # fewer chunks differ; not where a sign stands before them, which would be a token with them
-        if chunks.plain and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x) and not _SIGNS.search(x):
-            x = x.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
-        yield b"".join(map(of, x.replace("\n", " ").split(" "))) + last
+        x = x.replace("\n", " ")
+        if chunks.plain and _plain(x):
+            # lower-cased as a whole, and points and commas as chunks of their own, so fewer chunks differ
+            x = x.lower().replace(", ", " , ").replace(". ", " . ")
+        yield b"".join(map(of, x.split(" "))) + last
 
 
 def encode_shards(docs: DataFrame, tokenizer: str, out_dir: str | None = None, end: int = 1, shard_tokens: int = 8_000_000, cache: int = 500_000) -> DataFrame:
