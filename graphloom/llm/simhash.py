@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, text_rows
+from .common import batches, stored, text_rows, width
 from .components import components
 
 SEED = 42
@@ -77,7 +77,9 @@ def _within(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, large: int = 256, broadcast_keys: int = 500_000) -> DataFrame:
     """a, b: verified pairs of the distinct fingerprints fps (fp) within two bits, enough for all components."""
-    keyed = _one_wildcard(fps)
+    # 64 keys each: about a million rows for a task, however few the files
+    spread = max(width(fps.sparkSession), -(-fps.count() // 20_000))
+    keyed = _one_wildcard(fps.repartition(spread))
     keys = stored(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
     near = "bit_count(a ^ b) <= 2"
     found = keys.where("n = 2").where(near).select("a", "b")
