@@ -13,6 +13,10 @@ from graphloom.llm import compression, packing, rules, runindex, simhash
 from graphloom.llm.common import stored, table
 
 
+#: So many ids of eight bytes go to every executor; with more, the texts are shuffled to them.
+BROADCAST_IDS = 500_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or whose host is rejected go."""
     return rules.judge(docs, carry=tuple(docs.columns)).where("kept").select(*_given(docs))
@@ -29,7 +33,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each class of near copies stays; rows without doc_id stay."""
     got = simhash.classes(docs)
-    later = got.where("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct()
+    later = stored(got.where("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct(), "later")
+    if later.count() <= BROADCAST_IDS:
+        later = F.broadcast(later)
     return docs.join(later, F.col("doc_id") == F.col("gone"), "left_anti")
 
 
