@@ -78,7 +78,8 @@ def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.int32())], names=list(names))
 
     all_runs = stored(own(text_rows(docs)).select("d", "th", "text").mapInArrow(hashed, "h1 long, h2 long, d long, th long, pos int"), "runs")
-    firsts = all_runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "pos", "th")).alias("first")).where("n > 1").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
+    # written, so that both sides of the join are plain shuffles, whose hot keys are split
+    firsts = stored(all_runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "pos", "th")).alias("first")).where("n > 1").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "firsts")
     met = all_runs.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     later = met.where(F.struct("d", "pos", "th") != F.col("first")).select(F.col("d").alias("w1"), F.col("th").alias("w2"), "pos")
     starts = later.groupBy("w1", "w2").agg(F.collect_set("pos").alias("starts"))
