@@ -59,7 +59,7 @@ def host_verdicts(measured: DataFrame, most: float = 0.5, least_strength: float
     The prior has the mean of the hosts' rates and, by the method of moments, their variance beyond what
     chance gives; where hosts don't differ it is as strong as all of an average host's documents.
     """
-    hosts = measured.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = stored(measured.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
     p = hosts.agg(F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inv"), F.avg("n_docs").alias("size")).first()
     mean = p["mean"] or 0.0

@@ -258,7 +258,8 @@ def repeated_windows(owners: DataFrame, length: int, grams: tuple[int, ...], ind
     runs are relative to start; null stands for all windows from start on.
     """
     segs = stored(_segment_rows(owners, grams[0], length), "segments")
-    per = segs.groupBy("mh").agg(F.sum("c").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("twice").alias("t")).where("n > 1 OR t").selectExpr("mh AS g", "a = b AND n > 1 AS alike")
+    # written, so that both sides of the join are plain shuffles, whose hot keys are split
+    per = stored(segs.groupBy("mh").agg(F.sum("c").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("twice").alias("t")).where("n > 1 OR t").selectExpr("mh AS g", "a = b AND n > 1 AS alike"), "minimizers")
     shared = stored(segs.join(per, F.col("mh") == F.col("g")).drop("g", "twice"), "shared")
     alike = shared.where("alike").select("o1", "o2", "start", "windows").distinct()
     unlike = shared.where("NOT alike")

@@ -88,7 +88,8 @@ def write(pages: DataFrame, out_dir: str | None = None, file_bytes: int = 64 <<
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sums = rows.select("page_id", F.sha1(F.col("html")).alias("sha"), F.octet_length("html").alias("n"))
     # copies meet as narrow rows; only who revisits whom travels on to the payloads
-    firsts = sums.where(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL")
+    # firsts are written, so that both sides of the join are plain shuffles, whose hot keys are split
+    firsts = stored(sums.where(F.col("n") >= revisit_from).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL"), "firsts")
     later = sums.join(firsts, ["sha", "n"]).where("page_id > first").select(F.col("page_id").alias("of"), F.col("sha").alias("of_sha"), "first").distinct()
     full = rows.join(later, (F.col("page_id") == F.col("of")) & (F.sha1(F.col("html")) == F.col("of_sha")), "left").select("page_id", "url", "html", "first")
 
