@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, hamming, packing, pieces, rules, runindex, simhash, spans, warc, wavelet
+from . import compression, hamming, oracles, packing, pieces, rules, runindex, simhash, spans, warc, wavelet
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
