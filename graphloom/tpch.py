@@ -38,8 +38,15 @@ def graph(spark: SparkSession, d: str) -> Graph:
     return g.with_edges("NEAR", nation.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b")), ("Nation", "a"), ("Nation", "b"), ["a", "b"], "a", directed=False)
 
 
+_graphs: dict[tuple, Graph] = {}
+
+
 def engine(spark: SparkSession, d: str) -> Engine:
-    e = Engine(spark, graph(spark, d))
+    """An engine of its own over the directory's graph, whose plans are made once for a session."""
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), d)
+    if key not in _graphs:
+        _graphs[key] = graph(spark, d)
+    e = Engine(spark, _graphs[key])
     e.execute("CREATE VECTOR INDEX vec_l2 FOR (v:Vec) ON (v.embedding) OPTIONS {dims: 64, metric: 'l2'}")
     e.execute("CREATE VECTOR INDEX vec_cos FOR (v:Vec) ON (v.embedding) OPTIONS {dims: 64, metric: 'cosine'}")
     return e
