@@ -31,7 +31,7 @@ MARK = "▁"
 class Codec:
     """Encodes and decodes with a SentencePiece model file whose normalization is the identity, with a space put first."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2
 
         with open(path, "rb") as f:
@@ -54,8 +54,16 @@ class Codec:
         inside = [x for x in self.ids if MARK in x.lstrip(MARK)]
         if inside:
             raise ValueError("pieces reach over spaces")
-        self._joins: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._joins: dict[int, bool] = {}
+        # by a text's last four letters, or fewer at its start, the lengths of pieces it can end with, longest first
+        self._ends: dict[str, tuple[int, ...]] = {}
+        tails: dict[str, set[int]] = {}
+        for x in self.ids:
+            for n in range(1, min(4, len(x)) + 1):
+                tails.setdefault(x[-n:], set()).add(len(x))
+        self._tails = tails
+        shown = {x: self.names[x].replace(MARK, " ") for x in self.ids.values()}
+        self._shown = [shown.get(i) for i in range(len(self.names))]
         self._words: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._most = most
@@ -75,68 +83,109 @@ class Codec:
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
-    def _follows(self, a: str | None, b: str) -> bool:
-        """Whether merging leaves b, after a or at the start, as it is."""
-        if a is None:
-            if (ok := self._whole.get(b)) is None:
-                ok = self._whole[b] = len(b) == 1 or self._merge(b) == [b]
-            return ok
-        if (ok := self._joins.get((a, b))) is None:
-            if len(self._joins) > 1_000_000:
-                self._joins.clear()
-            ok = self._joins[a, b] = self._merge(a + b) == [a, b]
+    def _follows(self, a: int, b: int) -> bool:
+        """Whether merging leaves piece b, after piece a or (-1) at the start, as it is."""
+        if len(self._joins) > 1_500_000:
+            self._joins.clear()
+        name = self.names[b]
+        if a < 0:
+            ok = len(name) == 1 or self._merge(name) == [name]
+        else:
+            ok = self._merge(self.names[a] + name) == [self.names[a], name]
+        self._joins[a << 20 | b] = ok
         return ok
 
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        whole = {len(tail[k:]) for k in range(len(tail)) if tail[k:] in self.ids}
+        longer = {n for n in self._tails.get(tail, ()) if n > len(tail)} if len(tail) == 4 else set()
+        if len(self._ends) > 500_000:
+            self._ends.clear()
+        self._ends[tail] = got = tuple(sorted(whole | longer, reverse=True))
+        return got
+
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_[x] for x in char.encode()] if self.bytes_ else [self.unknown]
 
     def walk(self, words: Iterable[str]) -> Iterable[tuple[str, bytes]]:
         """words: sorted; yields each with its ids (little-endian 32 bits)."""
-        last = ""
+        return self._walk_bpe(words) if self.bpe else self._walk_unigram(words)
+
+    def _walk_bpe(self, words: Iterable[str]) -> Iterable[tuple[str, bytes]]:
+        get, joins, ends = self.ids.get, self._joins, self._ends
+        # by length of the prefix: its last piece's id (-1: none yet, -2: no path ends here) and where that starts
+        last, start, before = [-1], [0], ""
+        for word in words:
+            size = len(word)
+            if word[0] not in self._chars:  # nothing of it is in the model
+                yield word, array("I", [b for x in word for b in self._fallback(x)]).tobytes()
+                continue
+            n = 0
+            for x, y in zip(word, before, strict=False):
+                if x != y:
+                    break
+                n += 1
+            del last[n + 1 :], start[n + 1 :]
+            self.states += size - n
+            for i in range(n + 1, size + 1):
+                tail = word[i - 4 if i > 4 else 0 : i]
+                if (lengths := ends.get(tail)) is None:
+                    lengths = self._lengths(tail)
+                for length in lengths:
+                    j = i - length
+                    if j < 0 or (p := get(word[j:i])) is None or (q := last[j]) == -2:
+                        continue
+                    ok = joins.get(q << 20 | p)
+                    if ok is None:
+                        ok = self._follows(q, p)
+                    if ok:
+                        last.append(p)
+                        start.append(j)
+                        break
+                else:
+                    last.append(-2)
+                    start.append(i)
+            out, i = [], size
+            while i > 0:
+                if last[i] == -2:
+                    raise AssertionError(f"no path through {word!r}")
+                out.append(last[i])
+                i = start[i]
+            out.reverse()
+            before = word
+            yield word, array("I", out).tobytes()
+
+    def _walk_unigram(self, words: Iterable[str]) -> Iterable[tuple[str, bytes]]:
+        ids, scores, before = self.ids, self.scores, ""
         # by length of the prefix: its score, the start of its last piece, that piece (None: not in the model)
         stack: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
-        ids, scores = self.ids, self.scores
         for word in words:
             n = 0
-            for x, y in zip(word, last, strict=False):
+            for x, y in zip(word, before, strict=False):
                 if x != y:
                     break
                 n += 1
             del stack[n + 1 :]
-            for i in range(len(stack), len(word) + 1):
-                self.states += 1
+            self.states += len(word) - n
+            for i in range(n + 1, len(word) + 1):
                 state = None
                 for j in range(max(0, i - self.longest), i):
                     piece = word[j:i]
-                    if piece not in ids:
-                        continue
-                    before = stack[j]
-                    if self.bpe:
-                        if (j and before[1] == j) or not self._follows(before[2] if j else None, piece):
-                            continue
-                        state = (0.0, j, piece)
-                        break
-                    score = before[0] + scores[piece]
-                    if state is None or score > state[0]:
-                        state = (score, j, piece)
-                if word[i - 1] not in self._chars:
-                    other = stack[i - 1][0] + self._floor
-                    if state is None or (not self.bpe and other > state[0]):
-                        state = (other, i - 1, None)
-                stack.append(state or (float("-inf"), i, None))  # start = own length: no path ends here
+                    if piece in ids and (state is None or stack[j][0] + scores[piece] > state[0]):
+                        state = (stack[j][0] + scores[piece], j, piece)
+                if word[i - 1] not in self._chars and (state is None or stack[i - 1][0] + self._floor > state[0]):
+                    state = (stack[i - 1][0] + self._floor, i - 1, None)
+                stack.append(state)
             out: list[list[int]] = []
             i = len(word)
             while i > 0:
                 _, j, piece = stack[i]
-                if j == i:
-                    raise AssertionError(f"no path through {word!r}")
                 out.append(self._fallback(word[j:i]) if piece is None else [ids[piece]])
                 i = j
-            last = word
+            before = word
             yield word, array("I", [x for part in reversed(out) for x in part]).tobytes()
 
     def split(self, text: str) -> list[str]:
-        """Marked words; what the model has no piece for stands alone, so merging never reaches over it."""
+        """Marked words; letters the model has no piece for stand apart, as merging never reaches over them."""
         if not text:
             return []
         return [x for x in _words(self._chars).split(MARK + text.replace(" ", MARK)) if x]
@@ -157,6 +206,11 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 give U+FFFD."""
+        try:  # no bytes, no special pieces
+            text = "".join(map(self._shown.__getitem__, array("I", ids)))
+            return text[1:] if text.startswith(" ") else text
+        except TypeError:
+            pass
         out, raw = [], bytearray()
         first = {x: k for k, x in enumerate(self.bytes_)}
         for x in array("I", ids):
@@ -201,7 +255,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(it):
         codec = codec_of(model)
-        for b in batches(it, 500):
+        for b in batches(it, 2000):
             texts = b.column("text").to_pylist()
             got = codec.encode(texts)
             back = [codec.decode(x) == t for x, t in zip(got, texts, strict=True)]
