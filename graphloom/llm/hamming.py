@@ -27,8 +27,8 @@ def codes(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
 
 
 def layout(n: int) -> list[tuple[int, int]]:
-    """(offset, bits) of the segments: about as many bits as the count of codes has."""
-    m = max(2, min(8, round(BITS / max(8, math.log2(max(2, n))))))
+    """(offset, bits) of the segments: a value of one has about four of n codes, so probes and candidates balance."""
+    m = max(2, min(8, round(BITS / max(8, math.log2(max(2, n)) - 2))))
     cuts = [BITS * j // m for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
