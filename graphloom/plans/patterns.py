@@ -294,7 +294,12 @@ class Patterns(Paths):
         """Each branch in the place of the alternation, joined by column name."""
         outs = []
         for b in x.branches:
-            outs.append(self.path(rows, replace(p, parts=[*p.parts[:k], *([A.Group(b)] if len(p.parts) > 1 else b.parts), *p.parts[k + 1 :]], mode=p.mode or b.mode, search=p.search or b.search)))
+            got = (self.path(rows, replace(p, parts=[*p.parts[:k], *([A.Group(b)] if len(p.parts) > 1 else b.parts), *p.parts[k + 1 :]], mode=p.mode or b.mode, search=p.search or b.search)))
+            if x.distinct:  # paths are the same if their edges are, named or not
+                links = [F.array(F.struct(col(f"{e.at}@t").cast("int").alias("t"), col(f"{e.at}@id").alias("id"))) for n, e in got.env.items() if n not in rows.env and e.kind == "edge"]
+                links += [col(c) for c in got.df.columns if c.endswith("@e") and (rows.df is None or c not in rows.df.columns)]
+                got = got.at(got.df.withColumn("_links", F.concat(*links) if links else F.array().cast("array<struct<t:int,id:bigint>>")))
+            outs.append(got)
         return self.unioned(outs, x.distinct)
 
     def unioned(self, outs: list[Rows], distinct: bool) -> Rows:
@@ -317,11 +322,11 @@ class Patterns(Paths):
                         frames[i] = frames[i].withColumnsRenamed({c: at + c[len(b.at) :] for c in cols})
             tables = tuple(dict.fromkeys(t for b in have for t in b.tables))
             env[n] = replace(first, at=at, tables=tables, loaded=all(b.loaded for b in have))
-        keep = [[c for c in f.columns if any(c == b.at or c.startswith(b.at + "@") for b in env.values())] for f in frames]
+        keep = [[c for c in f.columns if c == "_links" or any(c == b.at or c.startswith(b.at + "@") for b in env.values())] for f in frames]
         out = frames[0].select(*map(col, keep[0]))
         for f, cols in zip(frames[1:], keep[1:], strict=True):
             out = out.unionByName(f.select(*map(col, cols)), allowMissingColumns=True)
-        return Rows(out.distinct() if distinct else out, env)
+        return Rows(out.distinct().drop("_links") if distinct else out, env)
 
     def match(self, rows: Rows, pattern: A.Pattern) -> Rows:
         """The rows extended by everything the pattern matches."""
