@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -81,8 +82,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 2000
+
+
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty) and the named columns, whatever else docs has."""
+    """doc_id, text (null: empty) and the named columns, whatever else docs has.
+
+    Texts go to Python BATCH_ROWS at a time, unless the session has a number of its own: both sides of the
+    pipe hold a whole batch.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
@@ -91,6 +102,16 @@ def batches(it: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Recor
     for b in it:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back: a worker lives on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Output:

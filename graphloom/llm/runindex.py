@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, text_rows, width
+from .common import batches, stored, text_rows, trim, width
 
 PIECE = 512  # windows in a segment, at most
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -248,6 +248,7 @@ def _indexed(cut: DataFrame, length: int, index_bytes: int) -> DataFrame:
                 size += len(t)
         if texts:
             yield flush()
+        trim()
 
     return cut.repartition(width(cut.sparkSession), "mh").sortWithinPartitions("mh", "sh").mapInArrow(run, "mh long, sh long, runs binary")
 
@@ -303,7 +304,7 @@ def covered(pieces: list, length: int) -> list[tuple[int, int]]:
     return list(zip(runs[firsts, 0].tolist(), end[np.r_[firsts[1:] - 1, len(end) - 1]].tolist(), strict=True))
 
 
-def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None, index_bytes: int = 1 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None, index_bytes: int = 1 << 19, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text that stays, without the bytes left of cut characters) of every row, and the columns in carry.
 
     Each byte that lies in ``length`` bytes which also start elsewhere, in this or another document, goes;
