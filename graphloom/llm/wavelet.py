@@ -128,7 +128,8 @@ class Shard:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often the id occurs at places lo to hi - 1."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._range(token, min(max(lo, 0), hi), hi) if hi > 0 else (0, 0)
         return b - a
 
     def occurrence(self, token: int, k: int) -> int:
