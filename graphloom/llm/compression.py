@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_rows
+from .common import batches, carried, text_rows
 
 PIECE = 1024
 LEVEL = 3
@@ -62,8 +62,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _design(x: np.ndarray) -> np.ndarray:
+    """Linear in the difference, so that a text more like the good never scores less; bent at the mean in the share."""
     x = np.clip(x, -6, 6)
-    return np.column_stack([np.ones(len(x)), x, x**2, x[:, :1] * x[:, 1:]])
+    return np.column_stack([np.ones(len(x)), x, np.minimum(x[:, 1:], 0)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: i
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, and the columns named in carry.
+    """doc_id, held_out, score, predicted of every row, and a struct, carried, of the columns named in carry.
 
     Null and empty text score alike, as incompressible.  Null doc_id: not held out.  Ties and repeated rows
     score alike; empty table: no rows; other columns are ignored.
@@ -138,6 +139,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[st
             keep = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=[*(n for n, _ in keep), "score", "predicted"])
 
-    rows = text_rows(docs, *(F.col(c).alias(f"kept_{c}") for c in carry)).withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
+    rows = text_rows(docs, *carried(carry)).withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int").select(*([] if "doc_id" in carry else ["doc_id"]), "held_out", "score", "predicted", *(F.col(f"kept_{c}").alias(c) for c in carry))
+    return rows.mapInArrow(run, f"{schema}, score double, predicted int").select("doc_id", "held_out", "score", "predicted", *(["carried"] if carry else []))
