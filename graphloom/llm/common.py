@@ -105,6 +105,12 @@ def batches(it: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Recor
     trim()
 
 
+def carried(columns: tuple[str, ...]) -> list:
+    """The named columns as one struct, so that their names can't clash with an operator's own."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+    return [F.struct(*quoted).alias("carried")] if columns else []
+
+
 def trim() -> None:
     """Give free memory back: a worker lives on from one stage to the next."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, text_rows
+from .common import batches, carried, stored, text_rows
 
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -39,7 +39,7 @@ _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measure(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, host, the features and base_failed of every row, and the columns named in carry."""
+    """doc_id, host, the features and base_failed of every row, and a struct, carried, of the columns named in carry."""
 
     def run(it):
         for b in batches(it):
@@ -48,7 +48,7 @@ def measure(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ())
             failed = [n < 50 or 100 * r > 50 * n for n, r in zip(got[0], got[4], strict=True)]
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x, pa.int64()) for x in got), pa.array(failed, pa.bool_())], names=[*(f.name for f in b.schema if f.name != "text"), *_NAMES, "base_failed"])
 
-    rows = text_rows(docs, F.col(host).cast("string").alias("host"), *(F.col(c).alias(f"kept_{c}") for c in carry))
+    rows = text_rows(docs, F.col(host).cast("string").alias("host"), *carried(carry))
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
     return rows.mapInArrow(run, ", ".join([*schema, *(f"{x} long" for x in _NAMES), "base_failed boolean"]))
 
@@ -75,11 +75,11 @@ def judge(docs: DataFrame, host: str = "source", most: float = 0.5, carry: tuple
 
     kept: base rules hold and the host isn't rejected.  Null text: no words, so it fails.  Null host: base
     rules only.  Repeated rows are judged and counted each.  Empty table: no rows.  Columns named in carry
-    come back under their names; others are ignored.
+    come back in a struct, carried; others are ignored.
     """
     measured = stored(measure(docs, host, carry), "rules")
     bad = host_verdicts(measured, most).where("rejected").select(F.col("host").alias("bad_host"))
     # few hosts are rejected; a host with a third of all rows is split by the join's own skew handling
     joined = measured.join(bad, F.col("host") == F.col("bad_host"), "left")
     kept = ~F.col("base_failed") & F.col("bad_host").isNull()
-    return joined.select(*([] if "doc_id" in carry else ["doc_id"]), *_NAMES, "base_failed", kept.alias("kept"), *(F.col(f"kept_{c}").alias(c) for c in carry))
+    return joined.select("doc_id", *_NAMES, "base_failed", kept.alias("kept"), *(["carried"] if carry else []))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, text_rows, trim, width
+from .common import batches, carried, stored, text_rows, trim, width
 
 PIECE = 512  # windows in a segment, at most
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -305,7 +305,8 @@ def covered(pieces: list, length: int) -> list[tuple[int, int]]:
 
 
 def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None, index_bytes: int = 1 << 19, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text that stays, without the bytes left of cut characters) of every row, and the columns in carry.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text that stays, without the bytes left of cut characters) of every row,
+    and a struct, carried, of the columns in carry.
 
     Each byte that lies in ``length`` bytes which also start elsewhere, in this or another document, goes;
     first occurrences too.  Null text: no bytes.  Null doc_id, ties and repeated rows: each row is a
@@ -316,7 +317,7 @@ def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None
     owners = own(text_rows(docs)).withColumn("c", F.lit(1).cast("long"))
     spans = repeated_windows(owners, length, grams, index_bytes)
     each = spans.groupBy(F.col("o1").alias("w1"), F.col("o2").alias("w2")).agg(F.collect_set(F.struct("start", "windows", "runs")).alias("pieces"))
-    rows = own(text_rows(docs, *(F.col(c).alias(f"kept_{c}") for c in carry)))
+    rows = own(text_rows(docs, *carried(carry)))
     met = rows.join(each, (F.col("o1") == F.col("w1")) & (F.col("o2") == F.col("w2")), "left").drop("o1", "o2", "w1", "w2")
 
     def run(it):
@@ -337,4 +338,4 @@ def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name not in ("text", "pieces"))
     out = met.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(f"kept_{c}").alias(c) for c in carry))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(["carried"] if carry else []))

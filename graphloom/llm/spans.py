@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, text_rows
+from .common import batches, carried, stored, text_rows
 
 _END = re.compile(r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|\n+")
 
@@ -56,7 +56,7 @@ def without(text: str, starts: set[int], span: int) -> tuple[str, int, int]:
 
 
 def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_sentences, n_removed, kept (the text that stays) of every row, and the columns in carry.
+    """doc_id, n_sentences, n_removed, kept (the text that stays) of every row, and a struct, carried, of the columns in carry.
 
     The first occurrence of a run is that with the smallest (doc_id, place); a null doc_id comes last.
     Sentences are compared lower-cased, with white space folded.  Texts of fewer than span sentences stay
@@ -83,7 +83,7 @@ def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFr
     met = all_runs.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     later = met.where(F.struct("d", "pos", "th") != F.col("first")).select(F.col("d").alias("w1"), F.col("th").alias("w2"), "pos")
     starts = later.groupBy("w1", "w2").agg(F.collect_set("pos").alias("starts"))
-    rows = own(text_rows(docs, *(F.col(c).alias(f"kept_{c}") for c in carry if c != "text")))
+    rows = own(text_rows(docs, *carried(carry)))
     joined = rows.join(starts, (F.col("d") == F.col("w1")) & (F.col("th") == F.col("w2")), "left")
 
     def cut(it):
@@ -94,4 +94,4 @@ def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFr
 
     slim = joined.drop("d", "th", "w1", "w2")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name not in ("text", "starts"))
-    return slim.mapInArrow(cut, f"{schema}, n_sentences long, n_removed long, kept string").select("doc_id", "n_sentences", "n_removed", "kept", *(F.col(f"kept_{c}").alias(c) for c in carry if c != "text"))
+    return slim.mapInArrow(cut, f"{schema}, n_sentences long, n_removed long, kept string").select("doc_id", "n_sentences", "n_removed", "kept", *(["carried"] if carry else []))
