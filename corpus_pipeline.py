@@ -19,7 +19,7 @@ BROADCAST_IDS = 500_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or whose host is rejected go."""
-    return rules.judge(docs, carry=tuple(docs.columns)).where("kept").select(*_given(docs))
+    return rules.judge(docs, carry=tuple(docs.columns)).where("kept").select("carried.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = compression.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     if model is None:  # nothing to learn from: nothing is rejected
         return docs
-    return compression.score(docs, model, carry=tuple(docs.columns)).where("predicted = 1").select(*_given(docs))
+    return compression.score(docs, model, carry=tuple(docs.columns)).where("predicted = 1").select("carried.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that start elsewhere too are cut out; what is left of a cut character goes with it."""
-    got = runindex.cut(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    out = got.withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    got = runindex.cut(docs, carry=tuple(docs.columns))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return got.select(*((new[c] if c in new else F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +63,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _given(docs: DataFrame) -> list:
-    return [F.col(c) for c in docs.columns]
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents; what each keeps is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
