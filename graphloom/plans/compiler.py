@@ -351,7 +351,7 @@ class Compiler(Patterns):
         self.used = before
         b = found.env[c.var]
         score = self.fresh(c.alias)
-        top = nearest(found.df, col(f"{b.at}@p@{index.prop}"), query, index.metric, index.dims, k, [col(f"{b.at}@t"), col(f"{b.at}@k")], score)
+        top = nearest(found.df, col(f"{b.at}@p@{index.prop}"), query, index.metric, index.dims, k, [col(f"{b.at}@t"), col(f"{b.at}@k")], score, index.encoding)
         if c.var in rows.env:
             o = rows.env[c.var]
             slim = top.select(col(f"{b.at}@t").alias("_t"), col(f"{b.at}@k").alias("_k"), col(score))

@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from ..gql import ast as A
-from ..graph import Graph, VectorIndex, VertexTable
 from ..functions.scalars import spark_type
+from ..graph import Graph, VectorIndex, VertexTable
 from .scope import GraphQueryError
 
 
@@ -105,6 +105,8 @@ def run(engine: Any, s: A.Catalog, compiler: Any) -> None:
         metric = "cosine" if metric == "cosine" else "l2" if metric.startswith("l2") or metric == "euclidean" else None
         if metric is None:
             raise GraphQueryError("a vector index has metric l2 or cosine")
+        if str(o.get("encoding", "f32")).lower() not in ("f32", "i8"):
+            raise GraphQueryError("a vector index has encoding f32 or i8")
         c.vectors[s.name] = VectorIndex(s.name, d["label"], d["props"][0], metric, o.get("dims") or o.get("dimensions"), str(o.get("encoding", "f32")).lower())
     elif s.action == "drop_vector_index":
         del c.vectors[s.name]

@@ -297,6 +297,9 @@ def test_search(spark):
     assert rows(eng, "SEARCH v IN (VECTOR INDEX c FOR [1.0, 0.0] LIMIT 2) SCORE AS s RETURN v.id AS i, s") == [(2, 1.0), (3, 0.0)]
     assert rows(eng, "MATCH (v:V {id: 3}) SEARCH v IN (VECTOR INDEX l FOR [0.0, 0.0] LIMIT 2) DISTANCE AS d RETURN v.id AS i") == []
     assert eng.vector_search("l", [0.0, 0.0], 1).collect()[0]["id"] == "V:1"
+    eng.execute("CREATE VECTOR INDEX b FOR (v:V) ON (v.e) OPTIONS {metric: 'l2', encoding: 'i8'}; CREATE VECTOR INDEX bc FOR (v:V) ON (v.e) OPTIONS {metric: 'cosine', encoding: 'i8'}")
+    assert rows(eng, "SEARCH v IN (VECTOR INDEX b FOR [1.0, 0.5] LIMIT 1) DISTANCE AS d RETURN v.id AS i, d") == [(2, 0.25)]
+    assert rows(eng, "SEARCH v IN (VECTOR INDEX bc FOR [2.0, 0.0] LIMIT 1) SCORE AS s RETURN v.id AS i, s") == [(2, 1.0)]
     for bad in ("SEARCH v IN (VECTOR INDEX l FOR [0.0, 0.0] LIMIT 0) DISTANCE AS d RETURN d", "SEARCH v IN (VECTOR INDEX l FOR [0.0, 0.0] LIMIT 1) SCORE AS d RETURN d", "SEARCH v IN (VECTOR INDEX l FOR [0.0] LIMIT 1) DISTANCE AS d RETURN d", "SEARCH v IN (VECTOR INDEX c FOR [0.0, 0.0] LIMIT 1) SCORE AS d RETURN d"):
         with pytest.raises(ValueError):
             eng.gql(bad)
