@@ -232,14 +232,15 @@ class Compiler(Patterns):
             return Rows(None, {n: b for n, b in env.items()}), [], {}
         news: dict[str, Binding] = {}
         names: dict[str, str] = {}
+        named = uses(tree)
         for n, b in env.items():
             at = self.fresh("outer")
             for c in cols:
                 if c == b.at or c.startswith(b.at + "@"):
                     names.setdefault(c, at + c[len(b.at) :])
             prefix = next((names[c][: len(names[c]) - len(c[len(b.at) :])] for c in cols if c == b.at or c.startswith(b.at + "@")), at)
-            full = all(c in cols for c in b.columns(rows.df)) if b.kind == "vertex" else True
-            news[n] = replace(b, at=prefix, loaded=b.loaded and (full or bool(uses(tree).get(n))))
+            read = named.get(n, set())
+            news[n] = replace(b, at=prefix, loaded=b.loaded or read is not None and not read)  # what isn't read needn't be loaded
         df = rows.df.select(*(col(c).alias(names[c]) for c in cols)).distinct()
         return Rows(df, news), [names[c] for c in cols], names
 
