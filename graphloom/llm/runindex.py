@@ -271,14 +271,13 @@ def repeated_windows(owners: DataFrame, length: int, grams: tuple[int, ...], ind
     cut = stored(_cut_out(owners, groups, length), "cut")
     some = bool(hot.limit(1).count()) and len(grams) > 1
     calm = cut.join(hot, F.col("mh") == F.col("hot"), "left_anti") if some else cut
-    found = _indexed(calm, length, index_bytes)
+    found = _indexed(calm, length, index_bytes).select("mh", "sh", F.lit(0).alias("start"), F.lit(0).alias("windows"), "runs")
     if some:
         deep = cut.join(hot, F.col("mh") == F.col("hot"), "left_semi").select(F.col("mh").alias("o1"), F.col("sh").alias("o2"), "text", "c")
         inner = repeated_windows(deep, length, grams[1:], index_bytes)
-        pieces = inner.groupBy("o1", "o2").agg(F.collect_list(F.struct("start", "windows", "runs")).alias("pieces"))
-        found = found.unionByName(pieces.select(F.col("o1").alias("mh"), F.col("o2").alias("sh"), F.udf(_joined, "binary")("pieces").alias("runs")))
-    found = stored(found, "found").select(F.col("mh").alias("f1"), F.col("sh").alias("f2"), "runs")
-    met = unlike.join(found, (F.col("mh") == F.col("f1")) & (F.col("sh") == F.col("f2"))).select("o1", "o2", "start", "windows", "runs")
+        found = found.unionByName(inner.select(F.col("o1").alias("mh"), F.col("o2").alias("sh"), "start", "windows", "runs"))
+    found = stored(found, "found").select(F.col("mh").alias("f1"), F.col("sh").alias("f2"), F.col("start").alias("at"), F.col("windows").alias("n"), "runs")
+    met = unlike.join(found, (F.col("mh") == F.col("f1")) & (F.col("sh") == F.col("f2"))).select("o1", "o2", (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("windows"), "runs")
     return alike.withColumn("runs", F.lit(None).cast("binary")).unionByName(met)
 
 
@@ -287,10 +286,6 @@ def _absolute(pieces: list) -> np.ndarray:
     return np.concatenate([(np.array([[0, p["windows"]]]) if p["runs"] is None else np.frombuffer(p["runs"], "<i4").reshape(-1, 2)).astype(np.int64) + p["start"] for p in pieces])
 
 
-def _joined(pieces: list) -> bytes:
-    return _absolute(pieces).astype("<i4").tobytes()
-
-
 def covered(pieces: list, length: int) -> list[tuple[int, int]]:
     """Maximal removed stretches of bytes, from pieces (start, windows, runs)."""
     if not pieces:
