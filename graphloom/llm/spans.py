@@ -1,7 +1,9 @@
 """Substring deduplication over sliding spans of sentences.
 
-Every run of ``span`` consecutive sentences is hashed, equal hashes meet across all documents, and each
-sentence that lies in a run which is not its hash's first occurrence is removed.
+From every sentence on, the run of consecutive sentences that has at least ``span`` of them and ``words``
+words is hashed, equal hashes meet across all documents, and each sentence that lies in a run which is not
+its hash's first occurrence is removed.  Counting words keeps short sentences that follow each other by
+chance, and lets passages of long sentences be found by few of them.
 """
 
 from __future__ import annotations
@@ -30,24 +32,47 @@ def key(sentence: str) -> bytes:
     return " ".join(sentence.split()).lower().encode()
 
 
-def runs(text: str, span: int) -> list[tuple[int, int]]:
-    """128-bit hash (as two signed longs) of every run of consecutive sentences; blank ones are left out before."""
+def _ends(keys: list[bytes], span: int, words: int) -> list[int | None]:
+    """For each sentence, where the run that begins with it ends; None if the text ends first."""
+    sizes = [k.count(b" ") + 1 for k in keys]
+    out: list[int | None] = []
+    total = j = 0
+    for i in range(len(keys)):
+        while j < len(keys) and (total < words or j - i < span):
+            total += sizes[j]
+            j += 1
+        out.append(j if total >= words and j - i >= span else None)
+        total -= sizes[i]
+    return out
+
+
+def runs(text: str, span: int, words: int) -> list[tuple[int, int, int]]:
+    """First sentence and 128-bit hash (as two signed longs) of every run; blank sentences are left out before."""
     keys = [k for a, b in sentences(text) if (k := key(text[a:b]))]
     out = []
-    for i in range(len(keys) - span + 1):
-        d = xxhash.xxh3_128_digest(b"\n".join(keys[i : i + span]))
-        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+    for i, j in enumerate(_ends(keys, span, words)):
+        if j is not None:
+            d = xxhash.xxh3_128_digest(b"\n".join(keys[i:j]))
+            out.append((i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
     return out
 
 
-def without(text: str, starts: set[int], span: int) -> tuple[str, int, int]:
+def without(text: str, starts: set[int], span: int, words: int) -> tuple[str, int, int]:
     """The text without the sentences of runs that begin at starts; how many it has and how many went."""
+    cuts = sentences(text)
+    keys = [key(text[a:b]) for a, b in cuts]
+    full = [k for k in keys if k]
+    if not starts:
+        return text, len(full), 0
+    ends, upto = _ends(full, span, words), 0
     kept, i, gone = [], 0, 0
-    for a, b in sentences(text):
-        if not key(text[a:b]):
+    for (a, b), k in zip(cuts, keys, strict=True):
+        if not k:
             kept.append(text[a:b])
             continue
-        if any(i - j in starts for j in range(span)):
+        if i in starts:
+            upto = max(upto, ends[i])
+        if i < upto:
             gone += 1
         else:
             kept.append(text[a:b])
@@ -55,12 +80,12 @@ def without(text: str, starts: set[int], span: int) -> tuple[str, int, int]:
     return "".join(kept), i, gone
 
 
-def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, span: int = 2, words: int = 14, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_sentences, n_removed, kept (the text that stays) of every row, and a struct, carried, of the columns in carry.
 
     The first occurrence of a run is that with the smallest (doc_id, place); a null doc_id comes last.
-    Sentences are compared lower-cased, with white space folded.  Texts of fewer than span sentences stay
-    whole.  Null text: empty.  Rows of one doc_id count as documents in the order of a hash of their text, but
+    Sentences are compared lower-cased, with white space folded.  Texts without a whole run stay as they
+    are.  Null text: empty.  Rows of one doc_id count as documents in the order of a hash of their text, but
     rows that repeat both doc_id and text are the same document and lose nothing to each other.  Empty
     table: no rows.
     """
@@ -72,7 +97,7 @@ def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFr
         for b in batches(it, 1000):
             cols: list[list[int]] = [[] for _ in names]
             for d, th, text in zip(*(b.column(x).to_pylist() for x in ("d", "th", "text")), strict=True):
-                for pos, (h1, h2) in enumerate(runs(text, span)):
+                for pos, h1, h2 in runs(text, span, words):
                     for col, x in zip(cols, (h1, h2, d, th, pos), strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.int32())], names=list(names))
@@ -88,7 +113,7 @@ def dedup(docs: DataFrame, span: int = 3, carry: tuple[str, ...] = ()) -> DataFr
 
     def cut(it):
         for b in batches(it, 500):
-            got = [without(t, set(s or ()), span) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True)]
+            got = [without(t, set(s or ()), span, words) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True)]
             keep = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name not in ("text", "starts")]
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.string())], names=[*(n for n, _ in keep), "n_sentences", "n_removed", "kept"])
 

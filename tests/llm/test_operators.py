@@ -82,13 +82,14 @@ def test_spans(spark, odd):
         rows = [(d if d is not None else (1 << 63) - 1, d, t, xxhash.xxh64_intdigest(t.encode(), 42)) for d, t in texts_of(df)]
         rows = [(k, d, t, h - (1 << 64) if h >> 63 else h) for k, d, t, h in rows]
         for k, _, t, h in rows:
-            for pos, x in enumerate(spans.runs(t, 3)):
+            for pos, *x in spans.runs(t, 2, 14):
+                x = tuple(x)
                 n[x] += 1
                 first[x] = min(first.get(x, (k, pos, h)), (k, pos, h))
         want = defaultdict(list)
         for k, d, t, h in rows:
-            starts = {pos for pos, x in enumerate(spans.runs(t, 3)) if (k, pos, h) != first[x]}
-            kept, m, gone = spans.without(t, starts, 3)
+            starts = {pos for pos, *x in spans.runs(t, 2, 14) if (k, pos, h) != first[tuple(x)]}
+            kept, m, gone = spans.without(t, starts, 2, 14)
             want[d].append((m, gone, kept))
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     out = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(docs, DOCS)).collect()}
@@ -96,6 +97,17 @@ def test_spans(spark, odd):
     assert out[0]["n_removed"] == 0 and out[2]["n_removed"] == 0 and out[52]["n_removed"] == 0
 
 
+def test_runs_of_sentences():
+    t = "A b c. D e. F g h i j. K. L m n o p q r s t u v w x y."
+    at = lambda span, words: [r[0] for r in spans.runs(t, span, words)]
+    assert at(2, 1) == [0, 1, 2, 3] and at(2, 11) == [0, 1, 2, 3] and at(1, 14) == [0, 1, 2, 3, 4] and at(4, 1) == [0, 1]
+    assert spans.without(t, {1}, 2, 1)[0] == "A b c. K. L m n o p q r s t u v w x y."
+    assert spans.without(t, {0}, 2, 11)[0] == "L m n o p q r s t u v w x y."
+    assert spans.without(t, set(), 2, 11) == (t, 5, 0)
+    same = spans.runs("One two THREE.  four\tfive six.\nseven", 2, 3)
+    assert same[0][1:] == spans.runs("x. one two three. Four five six. y", 2, 3)[1][1:]
+
+
 def test_sentences_cover_the_text():
     for t in ("", "a", "A b. C d! E?\nF", "\n\n", "x.y z.  w", "e.g. this"):
         cuts = spans.sentences(t)
