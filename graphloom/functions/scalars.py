@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, NumericType, StringType
+from pyspark.sql.types import ArrayType, DataType, DecimalType
 
 
 def _log(base: Column, x: Column) -> Column:
@@ -149,4 +149,3 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 VECTOR: dict[str, Callable[[Column, Column], Column]] = {"VECTOR.L2_SQUARED": l2_squared, "VECTOR.COSINE_DISTANCE": lambda a, b: F.lit(1.0) - cosine_similarity(a, b), "VECTOR.COSINE_SIMILARITY": cosine_similarity, "VECTOR.DOT": dot}
 
-__all__ = ["SESSION", "SIMPLE", "VECTOR", "BooleanType", "NumericType", "StringType", "cast", "is_normalized", "is_type", "normalize", "spark_type"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -318,7 +317,6 @@ class Compiler(Patterns):
                     raise GraphQueryError("VALUE needs a query of one column")
                 one = self.expressions.value(values[0], sub)
                 n = F.count(F.lit(1))
-                value = F.when(n > 1, F.raise_error(F.lit("VALUE found more than one row"))).otherwise(F.first(one))
                 value = F.when(n <= 1, F.first(one)).otherwise(F.raise_error(F.lit("VALUE found more than one row")))
                 grouped = frame.groupBy(*map(col, keep)).agg(value.alias(at)) if keep else frame.agg(value.alias(at))
                 rows = rows.at(self.joined_back(rows, grouped, names, "left"))
@@ -437,8 +435,7 @@ class Compiler(Patterns):
         elif keys:
             df = df.orderBy(*keys)
         cols = list(dict.fromkeys([*keep, *(c for b in out_env.values() for c in b.columns(df))]))
-        hidden_env = {}
-        return Rows(df.select(*map(col, cols)) if cols else df, out_env | hidden_env)
+        return Rows(df.select(*map(col, cols)) if cols else df, out_env)
 
     def output_names(self, items: list[tuple[Expr, str | None]]) -> list[str]:
         names: list[str] = []
@@ -467,7 +464,6 @@ class Compiler(Patterns):
 
     def grouped(self, rows: Rows, items: list, group_by: list[Expr] | None, having: Expr | None, order: list, keep: list[str]) -> tuple[Rows, Callable[[Expr], Expr]]:
         """Rows of groups, and how expressions over the ungrouped rows read them."""
-        lifted: list[tuple[Expr, str]] = []
         exprs = [e for e, _ in items] + ([having] if having is not None else []) + [e for e, _, _ in order]
         if rows.df is None:
             rows = rows.at(self.unit())
@@ -516,7 +512,7 @@ class Compiler(Patterns):
         for a, at in aggs:
             args = []
             for x in a.args:
-                if any(has_aggregate(y) for y in [x]):
+                if has_aggregate(x):
                     raise GraphQueryError("aggregates can't be nested")
                 rows, x, _ = self.lifted(rows, x)
                 ids = self.expressions.identity(x, rows)
@@ -555,7 +551,6 @@ class Compiler(Patterns):
             calc = [F.count(F.lit(1)).alias(self.fresh("rows"))]
         out = df.groupBy(*(c.alias(n) for n, c in keys.items())).agg(*calc) if keys else df.agg(*calc)
         swaps += [(a, Expr("column", [], at)) for a, at in aggs]
-        del lifted
 
         def swap(e: Expr) -> Expr:
             return replaced(e, lambda y: next((new for old, new in swaps if y == old), None))
@@ -572,8 +567,6 @@ class Compiler(Patterns):
             if any(e == k for k, _ in swaps or []):
                 return
             yield e
-            if e.kind == "agg" and not (e.args and e.args[0].kind == "prop" and e.data["name"] == "SUM"):
-                return
             if e.kind == "agg":
                 return
             for x in e.args:
@@ -588,4 +581,4 @@ def df_eq(name: str, a: DataFrame, b: DataFrame) -> Column:
     return a[name].eqNullSafe(b[name])
 
 
-__all__ = ["Compiler", "reduce"]
+__all__ = ["Compiler"]

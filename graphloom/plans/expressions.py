@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from decimal import Decimal
 from itertools import combinations
 from typing import Any
@@ -16,6 +17,9 @@ from ..graph import Graph, col
 from .scope import Binding, GraphQueryError, Rows, edge_label, edge_struct, element_id, element_labels, label_column, label_test, vertex_struct
 
 
+_COMPARE = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
 def constant(v: Any) -> Column:
     if isinstance(v, bytes):
         return F.lit(bytearray(v))
@@ -161,7 +165,7 @@ class Expressions:
             same = (ids[0][0] == ids[1][0]) & (ids[0][1] == ids[1][1])
             return same if e.data == "=" else ~same
         a, b = (self(x, rows) for x in e.args)
-        return {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e.data] if e.data in ("=", "<>") else {"<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[e.data]()
+        return _COMPARE[e.data](a, b)
 
     def _and(self, e: Expr, rows: Rows) -> Column:
         return self(e.args[0], rows) & self(e.args[1], rows)

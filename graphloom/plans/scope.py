@@ -86,9 +86,6 @@ def label_column(e: Expr, labels: Column) -> Column:
     return (a & b) if e.kind == "and" else (a | b)
 
 
-_ID_ONLY = {"ELEMENT_ID", "COUNT", "TYPE", "LABEL"}
-
-
 def uses(tree: Any) -> dict[str, set[str] | None]:
     """Of each variable named in the tree, which properties are used; None: all of it."""
     out: dict[str, set[str] | None] = {}
