@@ -8,7 +8,6 @@ chance, and lets passages of long sentences be found by few of them.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
