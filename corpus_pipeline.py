@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import compression, packing, rules, runindex, simhash
-from graphloom.llm.common import stored, table
+from graphloom.llm import compression, packing, rules, runindex, similar
+from graphloom.llm.common import stored, table, text_rows
 
 
 #: So many ids of eight bytes go to every executor; with more, the texts are shuffled to them.
@@ -31,8 +31,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near copies stays; rows without doc_id stay."""
-    got = simhash.classes(docs)
+    """The smallest doc_id of each class of near copies (0.8 or more of five-word shingles) stays; rows without doc_id stay."""
+    roots = similar.groups(docs)
+    named = stored(text_rows(docs).select("doc_id", F.xxhash64("text").alias("of")), "texts")
+    named = named.join(roots, F.col("of") == F.col("th"), "left").select("doc_id", F.coalesce("root", "of").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    got = named.join(least, "root")
     later = stored(got.where("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct(), "later")
     if later.count() <= BROADCAST_IDS:
         later = F.broadcast(later)

@@ -20,17 +20,22 @@ from .components import components
 SEED = 42
 
 
+def shingles(text: str, words: int) -> np.ndarray:
+    """XXH64 of every word shingle of the text, A-Z lower-cased; of fewer words, one of all."""
+    w = text.encode().lower().split()
+    rows = ([b" ".join(w)] if w else []) if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in rows), np.uint64, len(rows))
+
+
 def fingerprint(text: str, words: int = 3) -> int:
     """Bit by bit the majority of XXH64 over the word shingles of the text, A-Z lower-cased; no word: 0."""
-    w = text.encode().lower().split()
-    if not w:
+    h = shingles(text, words)
+    if not len(h):
         return 0
-    rows = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
-    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in rows), np.uint64, len(rows))
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):  # a part of a very long text at a time
         ones += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(rows), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

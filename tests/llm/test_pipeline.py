@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import plain_classes, plain_cut
 
 import corpus_pipeline
-from graphloom.llm import compression, rules, simhash
+from graphloom.llm import compression, rules, similar, simhash
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,36 @@ def test_cut_characters_vanish(spark):
     df = spark.createDataFrame(rows, DOCS)
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
     assert out[1] in ("a", "aé") and out[2] in ("b", "bè") and all("�" not in t for t in out.values())
+
+
+def plain_near(rows, words=5):
+    """The smallest id of each component of texts whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets = {d: set(zip(*((t or "").lower().split()[i:] for i in range(words)), strict=False)) for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("whole", [1500, 4])
+def test_near_copies_of_a_few_edits_go(spark, monkeypatch, whole):
+    monkeypatch.setattr(similar, "WHOLE", whole)
+    rng = random.Random(17)
+    rows = []
+    for k in range(12):
+        base = prose(rng, 240).split()
+        rows.append((100 * k, " ".join(base)))
+        for edits in (1, 2, 3, 4, 5, 9, 20):
+            t = list(base)
+            for i in rng.sample(range(len(t)), edits):
+                t[i] = f"edit{rng.randrange(10**6)}"
+            rows.append((100 * k + edits, " ".join(t)))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    root = plain_near(rows)
+    want = {d for d, r in root.items() if d == r}
+    assert all({100 * k, 100 * k + 20} <= want and 100 * k + 4 not in want for k in range(12))
+    out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(want)
