@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import compression, packing, rules, runindex, similar
-from graphloom.llm.common import stored, table, text_rows
+from graphloom.llm.common import stored, table
 
 
 #: So many ids of eight bytes go to every executor; with more, the texts are shuffled to them.
@@ -31,16 +31,36 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near copies (0.8 or more of five-word shingles) stays; rows without doc_id stay."""
+    """One row of each class of near copies (0.8 or more of five-word shingles) stays.
+
+    It is that of the smallest doc_id (null comes last), then of the smallest hash of the text, then of the
+    whole row; of rows that are equal throughout one stays.  Null and empty texts are copies of each other.
+    """
     roots = similar.groups(docs)
-    named = stored(text_rows(docs).select("doc_id", F.xxhash64("text").alias("of")), "texts")
-    named = named.join(roots, F.col("of") == F.col("th"), "left").select("doc_id", F.coalesce("root", "of").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    got = named.join(least, "root")
-    later = stored(got.where("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct(), "later")
-    if later.count() <= BROADCAST_IDS:
-        later = F.broadcast(later)
-    return docs.join(later, F.col("doc_id") == F.col("gone"), "left_anti")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keys = docs.select(F.col("doc_id").cast("long").alias("d"), text.alias("t")).groupBy("d", "t").agg(F.count(F.lit(1)).alias("n"))
+    keys = stored(keys, "keys")
+    named = keys.join(roots, F.col("t") == F.col("th"), "left").select("d", "t", "n", F.coalesce("root", "t").alias("root"))
+    order = F.struct(F.col("d").isNull().alias("last"), "d", "t")
+    named = stored(named.withColumn("order", order), "named")
+    least = named.groupBy("root").agg(F.min("order").alias("first")).select(F.col("root").alias("of"), "first")
+    judged = stored(named.join(least, F.col("root") == F.col("of")).select("d", "t", "n", (F.col("order") == F.col("first")).alias("stays")), "judged")
+    # keys that go, and those that stay with one row of several
+    out = _of(docs, text, judged.where("NOT stays OR n > 1"), "left_anti")
+    several = judged.where("stays AND n > 1")
+    if several.limit(1).count():
+        rows = _of(docs, text, several, "left_semi").groupBy(F.col("doc_id").alias("_key_d"), text.alias("_key_t"))
+        one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+        out = out.unionByName(rows.agg(one.alias("_row")).select("_row.*"))
+    return out
+
+
+def _of(docs: DataFrame, text, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs with (left_semi) or without (left_anti) one of the keys (d, t)."""
+    keys = stored(keys.select(F.col("d").alias("_key_d"), F.col("t").alias("_key_t")), "some_keys")
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_key_d")) & (text == F.col("_key_t")), how)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,28 @@ def test_near_copies_of_a_few_edits_go(spark, monkeypatch, whole):
     assert all({100 * k, 100 * k + 20} <= want and 100 * k + 4 not in want for k in range(12))
     out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in out) == sorted(want)
+
+
+def test_one_row_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(23)
+    a, b, c, d, e = (prose(rng, 150) for _ in range(5))
+    near = c.replace(c.split()[70], "edit", 1)
+    rows = [(1, a, "en", "s", 0)] * 5 + [(None, b, "en", "s", 0)] * 3 + [(None, c, "en", "s", 0), (None, near, "en", "s", 0)]
+    rows += [(9, d, "en", "s", 0), (None, d, "en", "s", 0), (4, e, "en", "x", 0), (4, e, "en", "y", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    kept_c = [t for _, t in got if t in (c, near)]
+    assert len(kept_c) == 1
+    assert got == sorted([(1, a), (None, b), (None, kept_c[0]), (9, d), (4, e)], key=str)
+    whole = {r["text"] for r in corpus_pipeline.repeated_passages(spark, out, "").collect()}
+    assert {a, b, d, e} <= whole  # the next stage finds no repetition to cut
+
+
+def test_near_duplicates_of_strange_rows(spark, odd, none):
+    rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
+    out = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, odd, "").collect()]
+    folded = lambda t: tuple(t.encode().lower().split())
+    assert len(out) == len({folded(t) for _, t in rows}) == len({folded(t) for _, t in out})
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
