@@ -431,3 +431,36 @@ def test_prefixes_are_shared():
     words = ["▁consider", "▁considerable", "▁considerably", "▁considered"]
     assert len(list(codec.walk(words))) == 4
     assert codec.states == len("▁considerable") + 1 + 2  # y after considerabl, ed after consider
+
+
+def test_spans_of_few_words_and_whole_copies(spark):
+    short = "En la. Des et. Ok now. Les."
+    long = "This one sentence has more than fourteen words so that it can be found all by itself."
+    rows = [(1, f"Alpha begins here. {short} Beta ends this."), (2, f"Gamma comes first. {short} Delta is the last."), (3, f"Some other words. {long} Nothing like it."), (4, f"Different start. {long} Different end.")]
+    rows += [(5, "Tiny text. Two."), (6, "Tiny text. Two."), (7, "Single."), (8, "Single."), (9, "Aa bb. Cc dd. Ee."), (10, "Aa bb. Cc dd. Ee."), (11, "Quite new. So it. Is it. Bye now. Farewell."), (12, "An old one. So be. It is. Bye now. Farewell.")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    out = {r["doc_id"]: r["kept"].split(".") for r in spans.dedup(df, fixed=3).collect()}
+    text = {d: ".".join(t).strip() for d, t in out.items()}
+    assert text[2] == "Gamma comes first. Delta is the last." and text[4] == "Different start. Different end."
+    assert text[6] == text[8] == text[10] == "" and text[12] == "An old one. So be. It is."
+    assert all(text[d] == dict(rows)[d] for d in (1, 3, 5, 7, 9, 11))
+
+
+def test_left_out_runs_change_nothing():
+    """Against all runs: fixed ones, those of enough words, single long ones and tails."""
+    rng = random.Random(4)
+    for _ in range(300):
+        texts = [". ".join(rng.choice(("a", "b c", "d e f g h i j", "k l m n o p q", "r " * 14 + "s")) for _ in range(rng.randint(1, 8))) + "." for _ in range(3)]
+        gone = []
+        for plain in (False, True):
+            seen, all_gone = {}, set()
+            for d, t in enumerate(texts):
+                keys = [spans.key(t[a:b]) for a, b in spans.sentences(t)]
+                n = len(keys)
+                size = lambda i, j, k=keys: sum(x.count(b" ") + 1 for x in k[i:j])
+                which = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if j - i == 3 or (i, j) == (max(0, n - 2), n) or size(i, j) >= 14 and (j - i <= 2 or size(i, j - 1) < 14)] if plain else spans.every_run(keys, 3, 2, 14)
+                for i, j in sorted(which):
+                    if seen.setdefault(tuple(keys[i:j]), (d, i)) != (d, i):
+                        all_gone |= {(d, x) for x in range(i, j)}
+            gone.append(all_gone)
+        assert gone[0] == gone[1], texts
