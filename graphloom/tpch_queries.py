@@ -48,6 +48,11 @@ def _two_graphs(e):
     return e.gql("MATCH (n:Nation) WHERE n.n_nationkey < 5 CALL (n) { USE other MATCH (m:Nation)-[:NATION_IN]->(r) WHERE m.n_nationkey = n.n_nationkey RETURN r.r_name AS region } RETURN n.n_name AS nation, region")
 
 
+def _two_graphs_all(e):
+    e.execute("CREATE GRAPH other LIKE default")
+    return e.gql("MATCH (n:Nation) CALL (n) { USE other MATCH (m:Nation)-[:NATION_IN]->(r) WHERE m.n_nationkey = n.n_nationkey RETURN r.r_name AS region } RETURN n.n_name AS nation, region")
+
+
 QUERIES: dict[str, tuple] = {
     "flagship": (
         "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:NATION_IN]->(r:Region) WHERE r.r_name='ASIA' RETURN n.n_name AS nation, COUNT(*) AS customers GROUP BY n.n_name ORDER BY customers DESC, nation LIMIT 10",
@@ -79,6 +84,7 @@ QUERIES: dict[str, tuple] = {
     "finish": ("MATCH (r:Region) RETURN r.r_name AS n NEXT FILTER n = 'nowhere' RETURN n", "SELECT r_name AS n FROM region WHERE FALSE"),
     "select_from": ("SELECT c.c_custkey AS k, n.n_name AS nation FROM default MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) WHERE c.c_acctbal < 0 ORDER BY k LIMIT 50", "SELECT c_custkey AS k, n_name AS nation FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE c_acctbal<0 ORDER BY 1 LIMIT 50"),
     "use_graph": (_two_graphs, "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey<5"),
+    "use_graph_all": (_two_graphs_all, "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey=r_regionkey"),
     "call_correlated": ("MATCH (n:Nation) CALL (n) { MATCH (n)<-[:LIVES_IN]-(c:Customer) RETURN COUNT(*) AS customers, MAX(c.c_acctbal) AS top } RETURN n.n_name AS nation, customers, top", "SELECT n_name AS nation, count(*) AS customers, max(c_acctbal) AS top FROM nation JOIN customer ON c_nationkey=n_nationkey GROUP BY n_nationkey, n_name"),
     "call_top_per_row": ("MATCH (n:Nation) CALL (n) { MATCH (n)<-[:LIVES_IN]-(c:Customer) RETURN c.c_custkey AS k ORDER BY c.c_acctbal DESC, k LIMIT 2 } RETURN n.n_nationkey AS n, k", "SELECT n, k FROM (SELECT c_nationkey AS n, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r<=2"),
     "optional_call": ("MATCH (r:Region) OPTIONAL CALL (r) { MATCH (r)<-[:NATION_IN]-(n:Nation) WHERE n.n_name STARTS WITH 'I' RETURN n.n_name AS nation } RETURN r.r_name AS region, nation", "SELECT r_name AS region, n_name AS nation FROM region LEFT JOIN nation ON n_regionkey=r_regionkey AND n_name LIKE 'I%'"),
@@ -111,11 +117,13 @@ QUERIES: dict[str, tuple] = {
     "shortest_k_group": ("MATCH p = SHORTEST 3 GROUP (a:Nation {n_nationkey: 0})-[:TRADES]->{1,2}(b:Nation) RETURN b.n_nationkey AS b, CARDINALITY(p) AS n", f"WITH {_TRADES}, p AS (SELECT b FROM trades WHERE a=0 AND b<>0 UNION ALL SELECT y.b FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=0 AND x.b<>0 AND y.b<>0 AND y.b<>x.b) SELECT b, CAST(least(count(*),3) AS BIGINT) AS n FROM p GROUP BY 1"),
     "weighted_shortest": ("MATCH p = ANY SHORTEST (a:Nation {n_nationkey: 0})-[e:TRADES]->{1,3}(b:Nation) COST BY e.weight RETURN b.n_nationkey AS b, SUM(e.weight) AS cost", f"WITH {_TRADES}, p AS (SELECT b, weight AS w FROM trades WHERE a=0 AND b<>0 UNION ALL SELECT y.b, x.weight+y.weight FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=0 AND x.b<>0 AND y.b<>0 AND y.b<>x.b UNION ALL SELECT z.b, x.weight+y.weight+z.weight FROM trades x JOIN trades y ON x.b=y.a JOIN trades z ON y.b=z.a WHERE x.a=0 AND x.b<>0 AND y.b NOT IN (0,x.b) AND z.b NOT IN (0,x.b,y.b)) SELECT b, CAST(min(w) AS BIGINT) AS cost FROM p GROUP BY 1"),
     "triangle": ("MATCH (a:Nation)-[:TRADES]->(b:Nation)-[:TRADES]->(c:Nation)-[:TRADES]->(a) WHERE a.n_regionkey = 1 RETURN COUNT(*) AS n", f"WITH {_TRADES} SELECT count(*) AS n FROM trades x JOIN trades y ON x.b=y.a JOIN trades z ON y.b=z.a AND z.b=x.a JOIN nation ON n_nationkey=x.a WHERE n_regionkey=1"),
+    "triangle_all": ("MATCH (a:Nation)-[:TRADES]->(b:Nation)-[:TRADES]->(c:Nation)-[:TRADES]->(a) RETURN COUNT(*) AS n", f"WITH {_TRADES} SELECT count(*) AS n FROM trades x JOIN trades y ON x.b=y.a JOIN trades z ON y.b=z.a AND z.b=x.a"),
     "simplified_path": ("MATCH (x)-/LIVES_IN|BASED_IN/->(n:Nation) RETURN n.n_nationkey AS n, COUNT(*) AS c GROUP BY n.n_nationkey", "SELECT CAST(k AS BIGINT) AS n, count(*) AS c FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1"),
     "simplified_concatenation": ("MATCH (c:Customer)-/LIVES_IN NATION_IN/->(r:Region) RETURN r.r_name AS r, COUNT(*) AS c GROUP BY r.r_name", "SELECT r_name AS r, count(*) AS c FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY 1"),
     "alternation_union": ("MATCH (n:Nation)<-[:LIVES_IN]-(x:Customer) | (n:Nation)<-[:BASED_IN]-(x:Supplier) RETURN n.n_nationkey AS n, COUNT(*) AS c GROUP BY n.n_nationkey", "SELECT CAST(k AS BIGINT) AS n, count(*) AS c FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1"),
     "alternation_multiset": ("MATCH (n:Nation WHERE n.n_nationkey < 3) |+| (n:Nation WHERE n.n_nationkey < 2) RETURN n.n_nationkey AS n", "SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey<3 UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey<2"),
     "order_by_insertion": ("MATCH (o:Order {o_orderkey: 1})-[e:CONTAINS]->(p) ORDER BY INSERTION(e) RETURN COLLECT_LIST(e.l_linenumber ORDER BY e.l_linenumber) AS l", "SELECT list(l_linenumber ORDER BY l_linenumber) AS l FROM lineitem WHERE l_orderkey=1"),
+    "order_by_insertion_all": ("MATCH (o:Order)-[e:CONTAINS]->(p) ORDER BY INSERTION(e) RETURN o.o_orderkey AS k, e.l_linenumber AS l", "SELECT l_orderkey AS k, l_linenumber AS l FROM lineitem JOIN orders ON l_orderkey=o_orderkey ORDER BY l_orderkey, l_linenumber"),
     "different_edges": ("MATCH DIFFERENT EDGES (a:Nation {n_nationkey: 1})-[x:TRADES]->(b:Nation)-[y:TRADES]->(c:Nation {n_nationkey: 1}) RETURN COUNT(*) AS n", f"WITH {_TRADES} SELECT count(*) AS n FROM trades x JOIN trades y ON x.b=y.a AND y.b=x.a WHERE x.a=1 AND NOT (x.a=y.a AND x.b=y.b)"),
     # joins
     "cartesian": ("MATCH (r:Region), (n:Nation) RETURN COUNT(*) AS n", "SELECT count(*) AS n FROM region, nation"),
@@ -159,6 +167,7 @@ QUERIES: dict[str, tuple] = {
     "casts": ("MATCH (n:Nation) RETURN CAST(n.n_nationkey AS STRING) AS s, CAST(CAST(n.n_nationkey AS STRING) AS INT64) AS i, CAST(n.n_regionkey AS FLOAT64) AS f", "SELECT CAST(n_nationkey AS VARCHAR) AS s, CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey AS DOUBLE) AS f FROM nation"),
     "temporal": ("MATCH (o:Order) WHERE o.o_orderdate >= LOCAL_DATETIME '1995-01-01T00:00:00' AND o.o_orderdate < LOCAL_DATETIME '1995-02-01T00:00:00' RETURN COUNT(*) AS n", "SELECT count(*) AS n FROM orders WHERE o_orderdate>=TIMESTAMP '1995-01-01' AND o_orderdate<TIMESTAMP '1995-02-01'"),
     "duration_between": ("MATCH (o:Order {o_orderkey: 1})-[e:CONTAINS]->(p) LET d = DURATION_BETWEEN(o.o_orderdate, e.l_shipdate) RETURN e.l_linenumber AS l, d.nanos AS nanos", "SELECT l_linenumber AS l, CAST((epoch_us(l_shipdate)-epoch_us(o_orderdate))*1000 AS BIGINT) AS nanos FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE o_orderkey=1"),
+    "duration_between_all": ("MATCH (o:Order)-[e:CONTAINS]->(p) LET d = DURATION_BETWEEN(o.o_orderdate, e.l_shipdate) RETURN o.o_orderkey AS k, e.l_linenumber AS l, d.nanos AS nanos", "SELECT o_orderkey AS k, l_linenumber AS l, CAST((epoch_us(l_shipdate)-epoch_us(o_orderdate))*1000 AS BIGINT) AS nanos FROM lineitem JOIN orders ON l_orderkey=o_orderkey"),
     "records": ("MATCH (r:Region) LET x = {name: r.r_name, key: r.r_regionkey} RETURN x.name AS n, x.key AS k", "SELECT r_name AS n, CAST(r_regionkey AS BIGINT) AS k FROM region"),
     "element_functions": ("MATCH (c:Customer {c_custkey: 1})-[e:LIVES_IN]->(n) RETURN ELEMENT_ID(c) AS id, LABELS(n) AS labels, TYPE(e) AS t, e IS LABELED LIVES_IN AS l, n IS LABELED Customer AS m, SOURCE(e) AS src, SAME(c, c) AS same, ALL_DIFFERENT(c, n) AS diff, PROPERTY_EXISTS(c, c_name) AS p", "SELECT 'Customer:1' AS id, ['Nation'] AS labels, 'LIVES_IN' AS t, TRUE AS l, FALSE AS m, 'Customer:1' AS src, TRUE AS same, TRUE AS diff, TRUE AS p"),
     "type_predicate": ("MATCH (r:Region) RETURN r.r_name IS TYPED STRING AS s, r.r_name IS TYPED INT64 AS i", "SELECT TRUE AS s, FALSE AS i FROM region"),

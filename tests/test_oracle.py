@@ -48,3 +48,14 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.queries()["flagship"](spark, str(DIR)).columns == ["nation", "customers"]
+
+
+def test_whole_tables(spark, duck):
+    """Queries over all orders and nations; insertion order shows in the rows' own order."""
+    q = tpch.queries()
+    got = [tuple(r) for r in q["order_by_insertion_all"](spark, str(DIR)).collect()]
+    assert got == duck.execute(tpch.oracle_sql()["order_by_insertion_all"]).fetchall() and len({k for k, _ in got}) > 1
+    lines = duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert len(got) == lines == q["duration_between_all"](spark, str(DIR)).count()
+    assert q["use_graph_all"](spark, str(DIR)).count() == duck.execute("SELECT count(*) FROM nation").fetchone()[0]
+    assert q["triangle_all"](spark, str(DIR)).first()["n"] > q["triangle"](spark, str(DIR)).first()["n"]
