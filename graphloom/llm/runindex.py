@@ -102,7 +102,11 @@ def segments(raw: bytes, k: int, length: int, part: int = 1 << 20) -> tuple[np.n
 
 
 class RunIndex:
-    """A run-length BWT of texts with suffix array samples at run ends; answers matching statistics."""
+    """A run-length BWT of texts with samples at run ends; answers matching statistics.
+
+    The suffix array serves to make it and isn't kept: what stays is, for each run, its symbol and length,
+    and for each run end its place in the texts and how far the match with the neighbouring suffix reaches.
+    """
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -133,33 +137,40 @@ class RunIndex:
         bwt[rank[0]] = -1  # nothing stands before the first symbol
         heads = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         tails = np.r_[heads[1:] - 1, n - 1]
-        self.runs = len(heads)
+        self.symbols, self.lengths = bwt[heads], tails - heads + 1
         # sampled where a run begins: the common prefix with the suffix before; where it ends: with that behind
-        self._up = self._reach(s, ranks, order, heads[heads > 0], -1)
-        self._down = self._reach(s, ranks, order, tails[tails < n - 1], 1)
-
-    def _reach(self, s: np.ndarray, ranks: list, order: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-        """For sampled text positions, where their match with the neighbouring suffix ends; else 0."""
-        a, b = order[at], order[at + step]
-        x, y = a.copy(), b.copy()
-        for depth, rank in reversed(ranks):
-            same = (x < self.n) & (y < self.n)
-            same[same] = rank[x[same]] == rank[y[same]]
-            x[same] += depth
-            y[same] += depth
-        open_ = np.ones(len(x), bool)
-        for _ in range(6):
-            open_ &= (x < self.n) & (y < self.n)
-            open_[open_] = s[x[open_]] == s[y[open_]]
-            x[open_] += 1
-            y[open_] += 1
-        reach = np.zeros(self.n, np.int64)
-        reach[a] = x
-        return reach
+        before, behind = heads[heads > 0], tails[tails < n - 1]
+        at = order[np.r_[before, behind]]
+        reach = _reach(s, ranks, at, order[np.r_[before - 1, behind + 1]])
+        place = np.argsort(at, kind="stable")
+        self.sampled, self.reach = at[place], reach[place]
 
     def statistics(self) -> np.ndarray:
-        """For each position, texts and their ends in a row, the length of its longest match elsewhere."""
-        return np.maximum.accumulate(np.maximum(self._up, self._down)).clip(np.arange(self.n)) - np.arange(self.n)
+        """For each position, texts and their ends in a row, the length of its longest match elsewhere.
+
+        Between samples a match only gets shorter by what lies before, so the furthest reach so far holds.
+        """
+        furthest = np.r_[0, np.maximum.accumulate(self.reach)]
+        held = np.diff(np.r_[0, self.sampled, self.n])
+        here = np.arange(self.n)
+        return np.repeat(furthest, held).clip(here) - here
+
+
+def _reach(s: np.ndarray, ranks: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the common prefix of the suffixes at a and b ends, as a place behind a."""
+    n, x, y = len(s), a.copy(), b.copy()
+    for depth, rank in reversed(ranks):
+        same = (x < n) & (y < n)
+        same[same] = rank[x[same]] == rank[y[same]]
+        x[same] += depth
+        y[same] += depth
+    open_ = np.ones(len(x), bool)
+    for _ in range(6):
+        open_ &= (x < n) & (y < n)
+        open_[open_] = s[x[open_]] == s[y[open_]]
+        x[open_] += 1
+        y[open_] += 1
+    return x
 
 
 def _runs_of(mask: np.ndarray) -> bytes:
@@ -168,20 +179,11 @@ def _runs_of(mask: np.ndarray) -> bytes:
     return edge.astype("<i4").tobytes()
 
 
-def _full(n: int) -> bytes:
-    return np.array([0, n], "<i4").tobytes()
-
-
 def marked(texts: list[bytes], counts: list[int], length: int) -> list[bytes | None]:
-    """For each distinct text the runs of its windows that occur elsewhere; those of a text with copies all do."""
-    index = RunIndex(texts)
+    """For each distinct text the runs of its windows that occur elsewhere; a text with copies stands in the index twice."""
+    index = RunIndex(texts + [t for t, c in zip(texts, counts, strict=True) if c > 1])
     stat = index.statistics() >= length
-    out: list[bytes | None] = []
-    for t, c, at in zip(texts, counts, index.starts.tolist(), strict=True):
-        n = len(t) - length + 1
-        runs = _full(n) if c > 1 else _runs_of(stat[at : at + n])
-        out.append(runs or None)
-    return out
+    return [_runs_of(stat[at : at + len(t) - length + 1]) or None for t, at in zip(texts, index.starts.tolist(), strict=False)]
 
 
 _SEGMENT = "mh long, sh long, o1 long, o2 long, start int, windows int, c long, twice boolean"
@@ -245,7 +247,7 @@ def _indexed(cut: DataFrame, length: int, index_bytes: int) -> DataFrame:
                 sh.append(s)
                 counts.append(c)
                 texts.append(t)
-                size += len(t)
+                size += len(t) * (2 if c > 1 else 1)
         if texts:
             yield flush()
         trim()
@@ -260,7 +262,9 @@ def repeated_windows(owners: DataFrame, length: int, grams: tuple[int, ...], ind
     """
     segs = stored(_segment_rows(owners, grams[0], length), "segments")
     # written, so that both sides of the join are plain shuffles, whose hot keys are split
-    per = stored(segs.groupBy("mh").agg(F.sum("c").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("twice").alias("t")).where("n > 1 OR t").selectExpr("mh AS g", "a = b AND n > 1 AS alike"), "minimizers")
+    # where the k-gram is the window itself, segments of one minimizer are equal, and need no index
+    alone = "a = b AND n > 1" if len(grams) == 1 else "false"
+    per = stored(segs.groupBy("mh").agg(F.sum("c").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("twice").alias("t")).where("n > 1 OR t").selectExpr("mh AS g", f"{alone} AS alike"), "minimizers")
     shared = stored(segs.join(per, F.col("mh") == F.col("g")).drop("g", "twice"), "shared")
     alike = shared.where("alike").select("o1", "o2", "start", "windows").distinct()
     unlike = shared.where("NOT alike")
@@ -299,12 +303,13 @@ def covered(pieces: list, length: int) -> list[tuple[int, int]]:
     return list(zip(runs[firsts, 0].tolist(), end[np.r_[firsts[1:] - 1, len(end) - 1]].tolist(), strict=True))
 
 
-def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None, index_bytes: int = 1 << 19, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None, index_bytes: int = 1 << 19, carry: tuple[str, ...] = (), least_words: int = 0, sure: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text that stays, without the bytes left of cut characters) of every row,
     and a struct, carried, of the columns in carry.
 
     Each byte that lies in ``length`` bytes which also start elsewhere, in this or another document, goes;
-    first occurrences too.  Null text: no bytes.  Null doc_id, ties and repeated rows: each row is a
+    first occurrences too.  With least_words, a stretch of such bytes goes only if it has so many words
+    between ASCII white space, or ``sure`` bytes.  Null text: no bytes.  Null doc_id, ties and repeated rows: each row is a
     document, so repeated rows remove each other.  Texts below ``length`` bytes stay.  Empty table: no rows.
     """
     grams = grams or (max(1, length // 4), max(1, length - 16), length)
@@ -320,7 +325,7 @@ def cut(docs: DataFrame, length: int = 400, grams: tuple[int, ...] | None = None
             got = []
             for text, pieces in zip(b.column("text").to_pylist(), b.column("pieces").to_pylist(), strict=True):
                 raw = text.encode()
-                gone = covered(pieces or [], length)
+                gone = [(a, e) for a, e in covered(pieces or [], length) if not least_words or e - a >= sure or len(raw[a:e].split()) >= least_words]
                 kept, at = [], 0
                 for a, e in gone:
                     kept.append(raw[at:a])

@@ -27,9 +27,9 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in rows), np.uint64, len(rows))
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Bit by bit the majority of XXH64 over the word shingles of the text, A-Z lower-cased; no word: 0."""
-    h = shingles(text, words)
+def fingerprint(text: str, words: int = 3, distinct: bool = False) -> int:
+    """Bit by bit the majority of XXH64 over the word shingles of the text, A-Z lower-cased; no word: 0.  distinct: repeats count once."""
+    h = np.unique(shingles(text, words)) if distinct else shingles(text, words)
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)

@@ -1,9 +1,12 @@
-"""Near copies by word shingles: SimHash candidates within a wide radius, verified by Jaccard similarity.
-
-Fingerprints that differ in at most 2 m - 1 bits differ, in one of m segments, in at most one bit, so one of
-the segment's two parts is equal and the other is equal but for a wildcarded bit.  Each text is listed under
-its 2 m parts, and a list is compared in blocks of the other part that agree but for one bit.  Candidates are
-linked only if their shingle sets are similar enough.  Large groups of near copies are joined by few links
+"""Near copies by word shingles: SimHash candidates within a radius, verified by Jaccard similarity.
+
+Fingerprints that differ in at most 2 m - 1 bits differ, in one of m segments, in at most one bit.  A segment
+is cut into pieces, one of which has that bit, so each text is listed under its segments without one piece
+(with pieces of one bit these are the one-wildcard variants), and a list is compared in blocks of that piece
+that agree but for one bit.  Lists get more pieces, so longer keys, as the table grows, and a list that is
+long all the same is compared in pairs of blocks, each a task's row of its own.  Candidates whose sizes or
+parity bitmaps show that they can't be similar enough are dropped (no pair that is similar enough is), and
+the others are linked only if their shingle sets are.  Large groups of near copies are joined by few links
 first (stars, then each text's nearest of another group), so the last round, which verifies every candidate
 between different groups, has few.
 """
@@ -21,21 +24,46 @@ from .common import batches, stored, text_rows
 from .components import components
 from .simhash import fingerprint, shingles
 
-#: Longer lists are compared by blocks.
+#: Longer lists are compared by blocks of a piece.
 WHOLE = 1500
+#: Longer lists are cut into blocks of about so many rows, which meet two by two.
+BLOCK = 16_384
+#: Keys are long enough for lists of about so many rows, where fingerprints are spread evenly.
+LIST = 8_192
+#: Bits of the parity bitmap of a shingle set.
+PARITY = 512
 #: So many ids of eight bytes go to every executor.
 BROADCAST_IDS = 500_000
 
 
-def parts(radius: int) -> list[tuple[int, int]]:
-    """(offset, bits) of the parts; those at 2 j and 2 j + 1 are a segment."""
-    n = 2 * (radius // 2 + 1)
-    cuts = [64 * j // n for j in range(n + 1)]
+def segments(radius: int) -> list[tuple[int, int]]:
+    """(offset, bits) of the segments: of fingerprints within radius, one differs in at most one bit."""
+    m = radius // 2 + 1
+    cuts = [64 * j // m for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _blocks(fp: np.ndarray, at: int, bits: int, twice: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions to compare: where bits of fp are equal (if twice) or differ in one bit."""
+def variants(radius: int, n: int) -> list[tuple[int, int, int, int, bool]]:
+    """(offset and mask of a segment without a piece, offset and bits of the piece, whether it is the segment's first)."""
+    segs = segments(radius)
+    least = min(bits for _, bits in segs)
+    pieces = next((p for p in range(2, least) if n <= LIST << (least - -(-least // p))), least)
+    out = []
+    for at, bits in segs:
+        cuts = [bits * q // pieces for q in range(pieces + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            out.append((at, ((1 << bits) - 1) & ~(((1 << (b - a)) - 1) << a), at + a, b - a, a == 0))
+    return out
+
+
+def parity(h: np.ndarray) -> bytes:
+    """For each of PARITY classes of hashes whether the set has an odd number: two sets differ in at least as many elements as their bitmaps in bits."""
+    odd = np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _blocks(fp: np.ndarray, at: int, bits: int, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions to compare: where a piece of fp differs in one bit or (if equal) in none."""
     if len(fp) <= WHOLE:
         every = np.arange(len(fp))
         yield every, every
@@ -45,22 +73,26 @@ def _blocks(fp: np.ndarray, at: int, bits: int, twice: bool) -> Iterator[tuple[n
     edges = np.searchsorted(u[order], np.arange((1 << bits) + 1))
     of = [order[a:b] for a, b in zip(edges, edges[1:], strict=False)]
     for v, mine in enumerate(of):
-        others = [of[v ^ (1 << i)] for i in range(bits) if v < v ^ (1 << i)] + ([mine] if twice else [])
+        others = [of[v ^ (1 << i)] for i in range(bits) if v < v ^ (1 << i)] + ([mine] if equal else [])
         other = np.concatenate(others) if others else mine[:0]
         if len(mine) and len(other):
             yield mine, other
 
 
-def pairs_of(fp: np.ndarray, size: np.ndarray, label: np.ndarray, at: int, bits: int, twice: bool, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs within radius, of sizes that fit, under different labels; if nearest, one for each position and block."""
-    for mine, other in _blocks(fp, at, bits, twice):
-        step = max(1, (1 << 20) // len(other))
+def pairs_of(rows: dict[str, np.ndarray], at: int, bits: int, equal: bool, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of rows (fp, size, label, bitmap, side) within radius that can be similar enough, under different labels and on different sides; if nearest, one for each position and block."""
+    fp, size, label, bitmap, side = (rows[x] for x in ("fp", "size", "label", "bitmap", "side"))
+    apart = (1 - similarity) / (1 + similarity)  # sets may differ in so many of all elements of both
+    for mine, other in _blocks(fp, at, bits, equal):
+        step = max(1, (1 << 18) // len(other))
         for k in range(0, len(mine), step):
             some = mine[k : k + step]
             d = np.bitwise_count(fp[some][:, None] ^ fp[other][None, :])
             i, j = np.nonzero(d <= radius)
             a, b = some[i], other[j]
-            fits = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+            fits = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] < 0)) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+            i, j, a, b = i[fits], j[fits], a[fits], b[fits]
+            fits = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(1, dtype=np.int64) <= apart * (size[a] + size[b]) + 1e-6
             i, j = i[fits], j[fits]
             if nearest and len(i):
                 order = np.lexsort((label[other[j]], d[i, j], i))
@@ -72,18 +104,28 @@ def pairs_of(fp: np.ndarray, size: np.ndarray, label: np.ndarray, at: int, bits:
 
 
 def candidates(nodes: DataFrame, radius: int, similarity: float, nearest: bool) -> DataFrame:
-    """a, b: texts (th) of nodes (th, fp, size, label) within radius, of sizes that can be as similar, under different labels."""
-    cut = parts(radius)
-    keys = ", ".join(f"{j} * 4294967296L + (shiftrightunsigned(fp, {a}) & {(1 << n) - 1}L)" for j, (a, n) in enumerate(cut))
-    lists = nodes.select(F.expr(f"explode(array({keys}))").alias("k"), "th", "fp", "size", "label").groupBy("k").agg(F.collect_list(F.struct("th", "fp", "size", "label")).alias("rows"))
-    lists = lists.where("size(rows) > 1").selectExpr("k", "rows.th AS th", "rows.fp AS fp", "rows.size AS size", "rows.label AS label")
+    """a, b: texts (th) of nodes (th, fp, size, label, bitmap) within radius that can be similar enough, under different labels."""
+    cut = variants(radius, nodes.count())
+    keys = ", ".join(f"{v} * 4294967296L + (shiftrightunsigned(fp, {at}) & {mask}L)" for v, (at, mask, *_) in enumerate(cut))
+    keyed = nodes.select(F.expr(f"explode(array({keys}))").alias("k"), "th", "fp", "size", "label", "bitmap")
+    # keys of one label have nothing to compare; the others' lists are cut into blocks that meet two by two
+    live = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select(F.col("k").alias("lk"), F.expr(f"cast(ceil(n / {BLOCK}) AS int)").alias("nb"))
+    met = keyed.join(live, F.col("k") == F.col("lk")).withColumn("own", F.pmod(F.xxhash64("th"), F.col("nb")).cast("int"))
+    met = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")})
+    names = ("th", "fp", "size", "label", "bitmap", "own")
+    lists = met.groupBy("k", "i", "j").agg(F.collect_list(F.struct(*names)).alias("rows")).where("size(rows) > 1")
+    lists = lists.selectExpr("k", "i", "j", *(f"rows.{x} AS {x}" for x in names))
 
     def run(it):
         for b in it:
-            for k, *cols in zip(b.column("k").to_pylist(), *(b.column(x) for x in ("th", "fp", "size", "label")), strict=True):
-                th, fp, size, label = (np.array(c.values) for c in cols)
-                j = k >> 32
-                for x, y in pairs_of(fp.view(np.uint64), size, label, *cut[j ^ 1], j % 2 == 0, radius, similarity, nearest):
+            for k, i, j, *cols in zip(*(b.column(x).to_pylist() for x in ("k", "i", "j")), *(b.column(x) for x in names), strict=True):
+                th, fp, size, label, bitmap, own = (c.values for c in cols)
+                rows = {"fp": np.array(fp).view(np.uint64), "size": np.array(size), "label": np.array(label)}
+                rows["bitmap"] = np.frombuffer(b"".join(bitmap.to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+                rows["side"] = np.array(own) if i != j else np.full(len(own), -1)
+                th = np.array(th)
+                _, _, *piece = cut[k >> 32]
+                for x, y in pairs_of(rows, *piece, radius, similarity, nearest):
                     got = np.unique(np.sort(np.stack([th[x], th[y]], 1), axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
@@ -120,22 +162,23 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return met.where(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def groups(docs: DataFrame, words: int = 5, radius: int = 13, similarity: float = 0.8, print_words: int = 3) -> DataFrame:
+def groups(docs: DataFrame, words: int = 5, radius: int = 9, similarity: float = 0.8) -> DataFrame:
     """th (XXH64 of the text by Spark), root: the group of every text that has near copies other than itself.
 
-    Fingerprints are over shorter shingles than the sets: an edit changes fewer of them, so copies are nearer.
-    Texts without words are copies of each other.  Null text: empty.  Empty table: no rows.
+    Fingerprints are over a text's distinct words, the sets over shingles of words: an edit changes fewer
+    words than shingles, so copies are nearer.  Texts without words are copies of each other.  Null text:
+    empty.  Empty table: no rows.
     """
 
     def run(it):
         for b in batches(it):
             texts = b.column("text").to_pylist()
-            got = np.array([fingerprint(x, print_words) for x in texts], np.uint64).view(np.int64)
-            size = [len(np.unique(shingles(x, words))) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(got, pa.int64()), pa.array(size, pa.int32())], names=["th", "fp", "size"])
+            got = np.array([fingerprint(x, 1, True) for x in texts], np.uint64).view(np.int64)
+            sets = [np.unique(shingles(x, words)) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(got, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.binary())], names=["th", "fp", "size", "bitmap"])
 
-    marked = text_rows(docs).select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, fp long, size int")
-    nodes = stored(marked.groupBy("th").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "nodes")
+    marked = text_rows(docs).select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, fp long, size int, bitmap binary")
+    nodes = stored(marked.groupBy("th").agg(*(F.min(x).alias(x) for x in ("fp", "size", "bitmap"))), "nodes")
     edges, roots = None, None
     now = nodes.withColumn("label", F.col("th"))
     for step in ("stars", "nearest", "all"):
@@ -145,5 +188,5 @@ def groups(docs: DataFrame, words: int = 5, radius: int = 13, similarity: float
         if roots is None or step == "nearest" or new.limit(1).count():
             roots = stored(components(edges), "roots")
         if step != "all":
-            now = stored(nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "fp", "size", F.coalesce("root", "th").alias("label")), "labelled")
+            now = stored(nodes.join(roots, F.col("th") == F.col("node"), "left").select("th", "fp", "size", "bitmap", F.coalesce("root", "th").alias("label")), "labelled")
     return roots.select(F.col("node").alias("th"), "root")

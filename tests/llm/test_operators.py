@@ -159,7 +159,7 @@ def test_warc_record_damage():
 
 
 # 4: run index
-def plain_cut(rows, length):
+def plain_cut(rows, length, least_words=0, sure=0):
     seen = Counter(t[i : i + length] for _, t in rows for i in range(len(t) - length + 1))
     out = []
     for d, t in rows:
@@ -169,6 +169,10 @@ def plain_cut(rows, length):
                 gone[i] += 1
                 gone[i + length] -= 1
         gone = np.cumsum(gone)[:-1] > 0
+        edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
+        for a, e in zip(edges[::2], edges[1::2], strict=True):
+            if least_words and e - a < sure and len(t[a:e].split()) < least_words:
+                gone[a:e] = False
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
         out.append((d, len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
@@ -207,6 +211,29 @@ def test_cut(spark, odd, length, index_bytes):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_cut_of_passages(spark, odd):
+    """Short strings that occur twice go only in stretches of enough words or bytes."""
+    rng = random.Random(12)
+    shared = [prose(rng, n).split() for n in (20, 40, 53, 56, 60, 120)]
+    docs = [(i, prose(rng, 60) + " " + " ".join(shared[i % 6]) + " " + prose(rng, 60)) for i in range(18)]
+    docs += [(50, "x" * 399), (51, "y" + "x" * 399), (52, "z" * 899), (53, "z" * 900), (54, "")]
+    small = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], DOCS)
+    for df in (small, odd.where("length(text) < 20000 OR text IS NULL")):
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in runindex.cut(df, 120, least_words=50, sure=900).collect()]
+        key = lambda r: tuple((x is not None, str(x)) for x in r)
+        assert sorted(got, key=key) == sorted(plain_cut([(d, t.encode()) for d, t in texts_of(df)], 120, 50, 900), key=key)
+    kept = {r["doc_id"]: r["kept"] for r in runindex.cut(small, 120, least_words=50, sure=900).collect()}
+    assert all((" ".join(shared[i % 6]) in kept[i]) == (i % 6 < 2) for i in range(18)) and kept[50] == "x" * 399
+
+
+def test_runs_are_what_the_index_keeps():
+    """Its size follows the runs, not the text, where copies repeat."""
+    t = prose(random.Random(1), 200).encode()
+    one, many = runindex.RunIndex([t]), runindex.RunIndex([t] * 20)
+    assert len(many.symbols) < 1.2 * len(one.symbols) + 40 and many.lengths.sum() == many.n and one.lengths.sum() == one.n
+    assert len(many.sampled) <= 2 * len(many.symbols)
+
+
 def test_segments_of_parts():
     rng = random.Random(9)
     raw = prose(rng, 3000).encode()

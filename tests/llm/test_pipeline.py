@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from llm_data import DOCS, prose
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def test_stages(spark, sf):
             classes = plain_classes([(d, simhash.fingerprint(r["text"])) for d, r in now.items()])
             assert set(after) == {d for d, _, c in classes if d == c} and not any(400 <= d < 410 for d in after)
         elif k == 3:
-            want = {d: (n, h) for d, n, _, _, h in plain_cut([(d, r["text"].encode()) for d, r in now.items()], 400)}
+            want = {d: (n, h) for d, n, _, _, h in plain_cut([(d, r["text"].encode()) for d, r in now.items()], 240, 50, 400)}
             assert set(after) == set(want)
             for d, r in after.items():
                 assert hashlib.sha256(r["text"].encode()).hexdigest() == want[d][1] and r["n_chars"] == len(r["text"])
@@ -111,9 +112,43 @@ def plain_near(rows, words=5):
     return root
 
 
-@pytest.mark.parametrize("whole", [1500, 4])
-def test_near_copies_of_a_few_edits_go(spark, monkeypatch, whole):
+def test_passages_of_fifty_words_go(spark):
+    """A passage of over 50 words, shorter than 400 bytes, goes from every text; one of 40 words stays."""
+    rng = random.Random(31)
+    long, short = (" ".join(x[:4] for x in prose(rng, n).split()) for n in (53, 40))
+    assert 240 < len(long) < 400
+    rows = [(i, f"{prose(rng, 70)} {long if i < 3 else short} {prose(rng, 70)}") for i in range(6)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert all(long not in out[i] and len(out[i]) > 500 for i in range(3)) and all(out[i] == dict(rows)[i] for i in range(3, 6))
+
+
+def test_variants_cover_the_radius():
+    """Whatever bits differ, some variant's key agrees and its piece differs in one bit at most."""
+    rng = random.Random(3)
+    for n in (10, 600_000, 10**7, 10**9, 10**11):
+        cut = similar.variants(9, n)
+        assert sum(bits for *_, bits, _ in cut) == 64
+        for _ in range(300):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << i for i in rng.sample(range(64), 9))
+            met = [(a ^ b) >> at & ((1 << bits) - 1) for k, mask, at, bits, _ in cut if (a >> k & mask) == (b >> k & mask)]
+            assert any(x.bit_count() <= 1 for x in met)
+
+
+def test_bitmaps_never_drop_a_similar_pair():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(1, 400))}
+        b = set(rng.sample(sorted(a), rng.randint(0, len(a)))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 60))}
+        x, y = (int.from_bytes(similar.parity(np.array(sorted(s), np.uint64)), "big") for s in (a, b))
+        assert (x ^ y).bit_count() <= len(a ^ b)
+
+
+@pytest.mark.parametrize(("whole", "block"), [(1500, 1 << 14), (4, 1 << 14), (4, 5)])
+def test_near_copies_of_a_few_edits_go(spark, monkeypatch, whole, block):
     monkeypatch.setattr(similar, "WHOLE", whole)
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng = random.Random(17)
     rows = []
     for k in range(12):
