@@ -214,7 +214,7 @@ def test_cut(spark, odd, length, index_bytes):
 def test_cut_of_passages(spark, odd):
     """Short strings that occur twice go only in stretches of enough words or bytes."""
     rng = random.Random(12)
-    shared = [prose(rng, n).split() for n in (20, 40, 53, 56, 60, 120)]
+    shared = [prose(rng, n).split()[:n] for n in (20, 40, 53, 56, 60, 120)]
     docs = [(i, prose(rng, 60) + " " + " ".join(shared[i % 6]) + " " + prose(rng, 60)) for i in range(18)]
     docs += [(50, "x" * 399), (51, "y" + "x" * 399), (52, "z" * 899), (53, "z" * 900), (54, "")]
     small = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], DOCS)
