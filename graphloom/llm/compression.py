@@ -81,11 +81,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 8 << 20, dict_bytes: int = 64 << 10) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 8 << 20, dict_bytes: int = 64 << 10, longest: int = 128 << 10) -> Model | None:
     """Learn from labelled documents outside the held-out fifth; None if either class has fewer than 8.
 
-    The sample is bounded: of each class the per_class documents with the smallest hash of their id, and of
-    these, in that order, as many as make most_bytes.  Every second of them goes into a dictionary, the
+    The sample is bounded: of each class the per_class documents with the smallest hash of their id, of these
+    those of at most longest bytes, and of these, in that order, as many as make most_bytes.  Every second of them goes into a dictionary, the
     others calibrate.  Class shares come from all labels.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(f"NOT ({HELD_OUT})").distinct()
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: i
         return None
     drawn = [marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * per_class rows of two numbers
-    rows = text_rows(docs).join(picked, "doc_id").where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
+    rows = text_rows(docs).join(picked, "doc_id").where(f"text <> '' AND octet_length(text) <= {longest}").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     size = {0: 0, 1: 0}
     for r in rows.toLocalIterator():
@@ -125,17 +125,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: i
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, and a struct, carried, of the columns named in carry.
 
-    Null and empty text score alike, as incompressible.  Null doc_id: not held out.  Ties and repeated rows
+    Without a model (nothing to learn from) every text scores 0.5.  Null and empty text score alike, as
+    incompressible.  Null doc_id: not held out.  Ties and repeated rows
     score alike; empty table: no rows; other columns are ignored.
     """
 
     def run(it):
-        scorer = Scorer(model)
+        scorer = Scorer(model) if model else None
         for b in batches(it):
-            s = scorer.scores(b.column("text").to_pylist())
+            s = scorer.scores(b.column("text").to_pylist()) if scorer else np.full(b.num_rows, 0.5)
             keep = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=[*(n for n, _ in keep), "score", "predicted"])
 

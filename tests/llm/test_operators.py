@@ -316,6 +316,8 @@ def test_classifier(spark, odd, none):
     flipped = lab.withColumn("quality", F.when(F.expr(compression.HELD_OUT), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert [r["score"] for r in compression.score(d, compression.fit(d, flipped)).orderBy("doc_id").collect()] == pytest.approx([r["score"] for r in compression.score(d, model).orderBy("doc_id").collect()])
     assert compression.fit(d, lab.where("quality = 1")) is None
+    unlearnt = compression.score(d, None).collect()
+    assert len(unlearnt) == 400 and all(r["score"] == 0.5 and r["predicted"] == 1 for r in unlearnt)
 
 
 # 8: SimHash
@@ -491,3 +493,13 @@ def test_left_out_runs_change_nothing():
                         all_gone |= {(d, x) for x in range(i, j)}
             gone.append(all_gone)
         assert gone[0] == gone[1], texts
+
+
+def test_every_query_on_empty_tables(spark, tmp_path):
+    from graphloom.llm.queries import queries
+
+    kinds = {"documents": DOCS, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries().items():
+        assert query(spark, str(tmp_path)).collect() == [], name
