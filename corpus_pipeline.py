@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import compression, packing, rules, runindex, similar
 from graphloom.llm.common import stored, table
+from graphloom.llm.queries import TOKENIZER, tokenizer_path
 
 
 #: So many ids of eight bytes go to every executor; with more, the texts are shuffled to them.
@@ -80,7 +81,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
-    return packing.pack(packing.measured(docs))
+    return packing.pack(packing.measured(docs, tokenizer_path(TOKENIZER)))
 
 
 STAGES = [

@@ -66,7 +66,7 @@ def op8_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its training sequence and place in it."""
-    return packing.pack(packing.measured(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.measured(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER)))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

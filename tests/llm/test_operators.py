@@ -416,7 +416,52 @@ def test_pack(spark, none):
             continue
         assert max(Counter(about[r["doc_id"]][0] for r in rs if about[r["doc_id"]][0]).values(), default=0) <= 2
         assert max(Counter(about[r["doc_id"]][1] for r in rs if about[r["doc_id"]][1] is not None and r["n_tokens"] < 64).values(), default=0) <= 1
-    assert packing.pack(packing.measured(none)).count() == 0
+    assert packing.pack(none.selectExpr("doc_id", "n_chars AS n_tokens", "source", "doc_id AS cluster", "1 AS h", "2 AS g")).count() == 0
+    assert sorted(map(str, out)) == sorted(map(str, packing.pack(df.repartition(7), capacity=64, most_per_source=2, shard_rows=300).collect()))
+
+
+@pytest.mark.parametrize("shard_rows", [400, 60])
+def test_every_choice_of_a_group_is_the_best_fit(spark, shard_rows):
+    """Each group is replayed against all its bins: the tightest compatible one, or none and a new bin."""
+    rng = random.Random(shard_rows)
+    rows = [(i, rng.choice([0, 1, 30, 64, 65, 200, *(rng.randint(1, 64) for _ in range(9))]), rng.choice(["hot", "hot", "a", "b", None]), rng.choice([1, 1, 2, None, 100 + i // 2])) for i in range(350)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster long"), 64, 2, shard_rows).collect()
+    groups = defaultdict(dict)
+    for r in out:
+        groups[r["bin_id"] >> 32][r["doc_id"], r["piece"]] = (r["bin_id"], r["bin_offset"], r["n_tokens"])
+    assert len(groups) == -(-350 // shard_rows)
+    about = {d: (max(1, n), s, c) for d, n, s, c in rows}
+    for placed in groups.values():
+        docs = {d for d, _ in placed}
+        used, sources, clusters = {}, defaultdict(list), defaultdict(set)
+        for d in sorted(docs, key=lambda d: packing.order((d, *about[d]), 64)):
+            n, s, c = about[d]
+            for piece in range(-(-n // 64)):
+                b, at, size = placed[d, piece]
+                whole = size == 64
+                fits = [x for x, u in used.items() if size <= 64 - u and (s is None or sources[x].count(s) < 2) and (whole or c is None or c not in clusters[x])]
+                if b in used:
+                    assert at == used[b] and b in fits and used[b] == max(used[x] for x in fits)
+                else:
+                    assert not fits and at == 0
+                used[b] = at + size
+                sources[b].append(s)
+                if not whole:
+                    clusters[b].add(c)
+
+
+def test_sequences_hold_the_ids(spark):
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(13), tokenizer_path(TOKENIZER)
+    docs = spark.createDataFrame([(i, prose(rng, rng.choice([0, 3, 40, 300])) if i % 9 else None, "en", f"s{i % 3}", 0) for i in range(60)], DOCS)
+    placed = packing.pack(packing.measured(docs, path), 100, 2, 25)
+    bins = {r["bin_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.sequences(docs, path, placed, 100).collect()}
+    tok, back = Tokenizer.from_file(path), defaultdict(list)
+    for r in sorted(placed.collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["bin_used"] == len(bins[r["bin_id"]]) <= 100
+        back[r["doc_id"]] += bins[r["bin_id"]][r["bin_offset"] : r["bin_offset"] + r["n_tokens"]]
+    assert dict(back) == {d: [*tok.encode(t, add_special_tokens=False).ids, 1] for d, t in texts_of(docs)}
 
 
 def test_best_fit_is_tightest_compatible():
@@ -428,9 +473,18 @@ def test_best_fit_is_tightest_compatible():
     assert p.add(10, 7, None) == (4, 0)
 
 
-def test_measured(odd):
-    for r, (_, t) in zip(packing.measured(odd).collect(), texts_of(odd), strict=True):
-        assert r["n_tokens"] == len(t.encode().split()) + 1
+def test_measured(odd, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path(TOKENIZER))
+    got = packing.measured(odd, tokenizer_path(TOKENIZER)).collect()
+    want = [(d, len(tok.encode(t, add_special_tokens=False).ids) + 1) for d, t in texts_of(odd)]
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(want, key=str)
+    of = defaultdict(set)
+    for r in got:
+        of[r["doc_id"]].add(r["cluster"])
+    assert of[5] == of[6] == of[7] and of[5] != of[4] and None in of[None] and of[1] == of[2] == of[3] == {None}
+    assert packing.measured(none, tokenizer_path(TOKENIZER)).count() == 0
 
 
 # 10: SentencePiece

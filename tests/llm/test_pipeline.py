@@ -8,9 +8,11 @@ import pytest
 from llm_data import DOCS, prose
 from pyspark.sql import functions as F
 from test_operators import plain_classes, plain_cut
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from graphloom.llm import compression, rules, similar, simhash
+from graphloom.llm.queries import TOKENIZER, tokenizer_path
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +69,8 @@ def test_stages(spark, sf):
                 assert now[d].asDict() | {"text": 0, "n_chars": 0} == r.asDict() | {"text": 0, "n_chars": 0}
             assert any(len(after[d]["text"]) < len(now[d]["text"]) for d in after)
         else:
-            assert sum(r["n_tokens"] for r in got) == sum(len(r["text"].split()) + 1 for r in now.values())
+            tok = Tokenizer.from_file(tokenizer_path(TOKENIZER))
+            assert sum(r["n_tokens"] for r in got) == sum(len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in now.values())
             assert {r["doc_id"] for r in got} == set(now)
         if k < 4:
             now = after
