@@ -509,6 +509,61 @@ def test_pieces_are_the_librarys(odd, none):
         assert codec.decode(ids) == lib.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+def unigram_file(path, rng, fallback):
+    """A unigram model written by hand: letters, and made-up pieces with scores that seldom tie."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    kinds = pb.ModelProto.SentencePiece
+    add = lambda piece, score, kind: m.pieces.add(piece=piece, score=score, type=kind)
+    add("<unk>", 0, kinds.UNKNOWN)
+    add("<s>", 0, kinds.CONTROL)
+    add("</s>", 0, kinds.CONTROL)
+    for b in range(256 if fallback else 0):
+        add(f"<0x{b:02X}>", 0, kinds.BYTE)
+    names = {"▁", *"abcdé"}
+    while len(names) < 150:
+        names.add(rng.choice(["", "▁"]) + "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5))))
+    for x in sorted(names):
+        add(x, -rng.uniform(2, 12) - (len(x) == 1), kinds.NORMAL)
+    m.trainer_spec.model_type = 1
+    m.trainer_spec.byte_fallback = fallback
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.add_dummy_prefix = True
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.normalizer_spec.escape_whitespaces = True
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_walk_is_the_best_path(spark, tmp_path, fallback):
+    """Forward scores shared by prefixes give the library's ids and the score of a Viterbi over each whole text."""
+    import sentencepiece
+
+    rng = random.Random(14)
+    path = unigram_file(tmp_path / "unigram.model", rng, fallback)
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Codec(path)
+    texts = ["".join(rng.choice("abcdé  ") for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", " ", "abz", "zz a", "漢b"]
+    got = codec.encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == lib.encode(t) or "zz" in t, t
+        if t and not set(t) - set("abcdé "):
+            s = "▁" + t.replace(" ", "▁")
+            best = [0.0] + [None] * len(s)
+            for i in range(1, len(s) + 1):
+                best[i] = max(best[j] + codec.scores[s[j:i]] for j in range(max(0, i - 7), i) if s[j:i] in codec.scores and best[j] is not None)
+            assert sum(codec.scores[codec.names[x]] for x in ids) == pytest.approx(best[-1])
+    shared = sorted({"▁" + "".join(rng.choice("ab") for _ in range(6)) for _ in range(60)})
+    before = codec.states
+    list(codec.walk(shared))
+    assert codec.states - before == len({w[:k] for w in shared for k in range(1, len(w) + 1)})  # a state for each node of the trie
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    out = {r["doc_id"]: r["n_pieces"] for r in pieces.encode(rows, path).collect()}
+    assert out == {i: len(x) // 4 for i, x in enumerate(got)}
+
+
 def test_prefixes_are_shared():
     codec = pieces.Codec(tokenizer_path(PIECES))
     words = ["▁consider", "▁considerable", "▁considerably", "▁considered"]
