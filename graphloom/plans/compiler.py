@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..gql import ast as A
 from ..gql.ast import Expr
@@ -22,6 +23,9 @@ from .scope import Binding, GraphQueryError, Rows, all_of, uses
 from .substitute import replaced
 
 
+EXACT_IN_DOUBLE = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+
+
 def has_aggregate(e: Any, over_list: Callable[[Expr], bool] = lambda e: False) -> bool:
     """Whether an aggregate of this level is in e; those of subqueries, and sums over lists, are no such."""
     if isinstance(e, Expr):
@@ -324,6 +328,8 @@ class Compiler(Patterns):
 
     def procedure(self, c: A.CallProcedure, rows: Rows) -> Rows:
         f = self.procedures.get(c.name.upper())
+        if f is None and c.name.upper().rpartition(".")[2].startswith(("FINALIZE_", "DRAIN_")):
+            return self.maintenance(c, rows)
         if f is None:
             raise GraphQueryError(f"procedure {c.name} is not known")
         df = f(self, *(self.expressions.constant_of(x) for x in c.args))
@@ -333,6 +339,12 @@ class Compiler(Patterns):
         out = df if rows.df is None else rows.df.join(df, F.lit(True), "left") if c.optional else rows.df.crossJoin(df)
         return Rows(out, rows.env | {n: Binding("value", at[n]) for _, n in ys})
 
+    def maintenance(self, c: A.CallProcedure, rows: Rows) -> Rows:
+        """Finalizing and draining have nothing to do, as Spark keeps no deferred work: counters of 0 under the names asked for."""
+        at = {n: self.fresh(n) for _, n in c.yields or [("processed", "processed")]}
+        df = self.frame(rows).withColumns({x: F.lit(0).cast("long") for x in at.values()})
+        return Rows(df, rows.env | {n: Binding("value", x) for n, x in at.items()})
+
     def search(self, c: A.Search, rows: Rows) -> Rows:
         """The index's k nearest vertices, found before anything is joined, then joined with the rows."""
         index = self.catalog.vectors.get(c.index)
@@ -544,8 +556,15 @@ class Compiler(Patterns):
                 for x in self._outside(e, swaps):
                     if isinstance(x, Expr) and x.kind == "var" and x.data in rows.env and x.data not in env:
                         raise GraphQueryError(f"{x.data} is neither grouped nor aggregated")
-        df = rows.df
-        calc = [aggregate(a.data["name"], args, a.data["distinct"], k, by).alias(at) for at, a, args, k, by in calls]
+        df, calc = rows.df, []
+        for at, a, args, k, by in calls:
+            if a.data["name"] == "PERCENTILE_DISC" and not a.data["distinct"] and isinstance(kind := self.expressions.kind_of(args[0], rows), EXACT_IN_DOUBLE):
+                # by counts of values; lists of whole groups only where a double can't hold a value
+                x, share = self.fresh("disc"), self.expressions.constant_of(a.args[1])
+                df = df.withColumn(x, args[0] if k is None else F.when(k, args[0]))
+                calc.append(F.expr(f"percentile_disc({float(share)!r}D) WITHIN GROUP (ORDER BY `{x}`)").cast(kind).alias(at))
+            else:
+                calc.append(aggregate(a.data["name"], args, a.data["distinct"], k, by).alias(at))
         calc += [F.first(c).alias(n) for n, c in {**carried, **rest}.items() if n not in keys]
         if not calc:
             calc = [F.count(F.lit(1)).alias(self.fresh("rows"))]

@@ -254,8 +254,9 @@ class Patterns(Paths):
         return rows
 
     def path_rules(self, rows: Rows, p: A.Path, parts: list[Any], pieces: dict[int, str], before: set[str]) -> Rows:
-        """The path variable, an explicit path mode over the whole path, and ANY k."""
-        name = p.var
+        """The path variable, an explicit path mode over the whole path, ANY k, and COUNT PATHS."""
+        counted = p.search is not None and p.search[0] == "COUNT PATHS"
+        name = None if counted else p.var
         wanted = name is not None and self.reads_all(name)
         plain = p.mode in (None, "WALK")
         if wanted or not plain:
@@ -288,7 +289,15 @@ class Patterns(Paths):
                 rows = rows.bound(name, Binding("path", at, graph=self.graph))
         if p.search and p.search[0] == "ANY":
             rows = self.any_k(rows, parts, p.search[1] or 1, before)
-        return rows
+        return self.counted(rows, p.var, parts, before) if counted else rows
+
+    def counted(self, rows: Rows, name: str | None, parts: list[Any], before: set[str]) -> Rows:
+        """One row for each pair of ends, beside each row before; the path's variable is the number of paths between them."""
+        env = {n: b for n, b in rows.env.items() if n in before or n in (parts[0].var, parts[-1].var)}
+        keep = dict.fromkeys(c for b in env.values() for c in b.columns(rows.df))
+        at = self.fresh(name or "paths")
+        df = rows.df.groupBy(*map(col, keep)).agg(F.count(F.lit(1)).alias(at))
+        return Rows(df, env | ({name: Binding("value", at)} if name is not None else {}))
 
     def alternatives(self, rows: Rows, p: A.Path, k: int, x: A.Alternation) -> Rows:
         """Each branch in the place of the alternation, joined by column name."""
@@ -328,12 +337,27 @@ class Patterns(Paths):
             out = out.unionByName(f.select(*map(col, cols)), allowMissingColumns=True)
         return Rows(out.distinct().drop("_links") if distinct else out, env)
 
+    def _free_order(self, paths: list[A.Path], before: set[str]) -> bool:
+        """Whether paths can be joined in any order: plain ones, none of whose conditions names what another binds."""
+        for p in paths:
+            if p.search or p.cost is not None or any(not isinstance(x, (A.Node, A.Edge)) or isinstance(x, A.Edge) and x.quantifier for x in p.parts):
+                return False
+            own = before | {x.var for x in p.parts if x.var}
+            if any(isinstance(x, Expr) and (x.kind in ("exists", "value") or x.kind == "var" and x.data not in own) for x in A.walk(p.parts)):
+                return False
+        return True
+
     def match(self, rows: Rows, pattern: A.Pattern) -> Rows:
         """The rows extended by everything the pattern matches."""
         before = set(rows.env)
         todo = list(pattern.paths)
         if pattern.keep:
             todo = [replace(p, mode=p.mode or pattern.keep[0], search=p.search or pattern.keep[1]) for p in todo]
+        if pattern.match_mode == "REPEATABLE":
+            # elements may repeat within a path too, unless it says otherwise
+            todo = [replace(p, mode=p.mode or "WALK") if p.search is None or p.search[0] in ("ANY", "ALL", "COUNT PATHS") else p for p in todo]
+        if self._free_order(todo, before):
+            todo.sort(key=_turns)
         while todo:
             # a path that touches what is bound comes before one that would be a product
             p = next((p for p in todo if any(isinstance(x, A.Node) and x.var in rows.env for x in A.walk(p.parts))), todo[0])
@@ -352,6 +376,12 @@ class Patterns(Paths):
         return Rows(rows.df, {n: b for n, b in rows.env.items() if not n.startswith(" ")})
 
 
+def _turns(p: A.Path) -> int:
+    """How often a path meets itself: two edges into one node, or out of it, pair all of the one side with all of the other."""
+    edges = [x for x in p.parts if isinstance(x, A.Edge)]
+    return sum({a.direction, b.direction} == {"left", "right"} for a, b in zip(edges, edges[1:], strict=False))
+
+
 def _point(t: Column, k: Column) -> Column:
     return F.struct(t.cast("int").alias("t"), k.alias("k"))
 

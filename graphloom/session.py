@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from typing import Any
 
@@ -27,7 +28,7 @@ class Engine:
         self.functions: dict[str, Callable] = {}
         self.procedures: dict[str, Callable] = {}
         self.prepared: dict[str, tuple[list, list[str]]] = {}
-        self._before: dict[str, Graph] | None = None
+        self._before: tuple | None = None
 
     @property
     def graph(self) -> Graph:
@@ -72,11 +73,14 @@ class Engine:
         return out
 
     def begin(self) -> None:
-        self._before = dict(self.catalog.graphs)
+        """All of the catalog and the session can come back; graphs themselves never change."""
+        self._before = copy.deepcopy({k: v for k, v in vars(self.catalog).items() if k != "graphs"}), dict(self.catalog.graphs), copy.deepcopy(self.session), self.current
 
     def rollback(self) -> None:
         if self._before is not None:
-            self.catalog.graphs, self._before = self._before, None
+            rest, graphs, self.session, self.current = self._before
+            vars(self.catalog).update(rest, graphs=graphs)
+            self._before = None
 
     def commit(self) -> None:
         self._before = None

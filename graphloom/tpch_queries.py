@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans.scope import GraphQueryError
+
 _TURNS = "turns AS (SELECT conv_id*1000+turn AS k, conv_id, turn, role, CAST(length(text) AS BIGINT) AS n FROM conversations)"
 _TRADES = "trades AS (SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, count(*) AS trade_count, CAST(round(sum(l_extendedprice),0) AS BIGINT) AS weight FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1,2)"
 _NEAR = "near AS (SELECT n_nationkey AS a, (n_nationkey*7+3)%25 AS b FROM nation), und AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near WHERE a<>b)"
@@ -53,6 +55,38 @@ def _two_graphs_all(e):
     return e.gql("MATCH (n:Nation) CALL (n) { USE other MATCH (m:Nation)-[:NATION_IN]->(r) WHERE m.n_nationkey = n.n_nationkey RETURN r.r_name AS region } RETURN n.n_name AS nation, region")
 
 
+def _bytes(e):
+    """An index of signed bytes finds what is near: the query itself first, all distances in order."""
+    e.execute("CREATE VECTOR INDEX vec_i8 FOR (v:Vec) ON (v.embedding) OPTIONS {dims: 64, metric: 'l2', encoding: 'i8'}")
+    q = list(e.gql("MATCH (v:Vec {vec_id: 0}) RETURN v.embedding AS q").first()["q"])
+    hits = e.gql("SEARCH v IN (VECTOR INDEX vec_i8 FOR $q LIMIT 10) DISTANCE AS d RETURN v.vec_id AS vec_id, d AS d", {"q": q})
+    return hits.selectExpr("min_by(vec_id, d) = 0 AS near", "min(d) >= 0 AS ordered", "count(*) AS n") if hits else None
+
+
+def _many(e):
+    q = list(e.gql("MATCH (v:Vec {vec_id: 0}) RETURN v.embedding AS q").first()["q"])
+    return e.gql("SEARCH v IN (VECTOR INDEX vec_l2 FOR $q LIMIT 1024) DISTANCE AS d RETURN COUNT(*) AS n", {"q": q})
+
+
+def _refused(e, text: str):
+    """All regions, if the change is refused; else none."""
+    try:
+        e.execute(text)
+    except GraphQueryError:
+        return e.gql("MATCH (r:Region) RETURN r.r_name AS r")
+    return e.gql("MATCH (r:Region {r_name: 'accepted'}) RETURN r.r_name AS r")
+
+
+def _constrained(e):
+    """How many regions there are after a second one of a unique name is refused."""
+    e.execute("CREATE CONSTRAINT one_name FOR (r:Region) REQUIRE r.r_name IS UNIQUE")
+    try:
+        e.execute("INSERT (:Region {r_regionkey: 77, r_name: 'ASIA'})")
+    except GraphQueryError:
+        pass
+    return e.gql("MATCH (r:Region) RETURN COUNT(*) AS n")
+
+
 QUERIES: dict[str, tuple] = {
     "flagship": (
         "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:NATION_IN]->(r:Region) WHERE r.r_name='ASIA' RETURN n.n_name AS nation, COUNT(*) AS customers GROUP BY n.n_name ORDER BY customers DESC, nation LIMIT 10",
@@ -186,4 +220,52 @@ QUERIES: dict[str, tuple] = {
     "delete_edge": (_changed("MATCH (n:Nation)-[e:NATION_IN]->(r:Region {r_name: 'ASIA'}) DELETE e", "MATCH (n:Nation)-[:NATION_IN]->(r:Region) RETURN r.r_name AS r, COUNT(*) AS n GROUP BY r.r_name"), "SELECT r_name AS r, count(*) AS n FROM nation JOIN region ON n_regionkey=r_regionkey WHERE r_name<>'ASIA' GROUP BY 1"),
     "detach_delete": (_changed("MATCH (r:Region {r_name: 'ASIA'}) DETACH DELETE r", "MATCH (n:Nation) OPTIONAL MATCH (n)-[:NATION_IN]->(r:Region) RETURN n.n_name AS n, r.r_name AS r"), "SELECT n_name AS n, nullif(r_name,'ASIA') AS r FROM nation JOIN region ON n_regionkey=r_regionkey"),
     "prepared": (_prepared, "SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_mktsegment='BUILDING' ORDER BY 2, 1 LIMIT 20"),
+    # constructs by themselves, with rows on both sides
+    "let_rows": ("MATCH (p:Part) LET gross = p.p_retailprice * 2, big = gross > 1500 FILTER big RETURN p.p_partkey AS k, ROUND(gross, 4) AS gross", "SELECT p_partkey AS k, round(p_retailprice*2,4) AS gross FROM part WHERE p_retailprice*2>1500"),
+    "string_predicate_rows": ("MATCH (n:Nation) WHERE n.n_name STARTS WITH 'NATION_2' OR n.n_name ENDS WITH '7' OR n.n_name CONTAINS '_1' OR n.n_name ILIKE 'nation__' RETURN n.n_name AS n, n.n_name NOT STARTS WITH 'NATION_2' AS a, n.n_name CONTAINS 'X' AS b", "SELECT n_name AS n, NOT starts_with(n_name,'NATION_2') AS a, contains(n_name,'X') AS b FROM nation WHERE starts_with(n_name,'NATION_2') OR suffix(n_name,'7') OR contains(n_name,'_1') OR n_name ILIKE 'nation__'"),
+    "finish_clause": (lambda e: e.execute("MATCH (r:Region) FINISH").selectExpr("1 AS x").groupBy().count().withColumnRenamed("count", "n"), "SELECT CAST(0 AS BIGINT) AS n"),
+    "no_bindings": (lambda e: e.gql("MATCH (n:Nation)-[:NATION_IN]->(r) RETURN NO BINDINGS").groupBy().count().withColumnRenamed("count", "n"), "SELECT count(*) AS n FROM nation JOIN region ON n_regionkey=r_regionkey"),
+    "limit_rows": (lambda e: e.gql("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_custkey AS c, o.o_orderkey AS o LIMIT 40").join(e.gql("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.c_custkey AS c, o.o_orderkey AS o"), ["c", "o"]).groupBy().count().withColumnRenamed("count", "n"), "SELECT least(40, count(*)) AS n FROM orders JOIN customer ON o_custkey=c_custkey"),
+    "lookup_equal_method": (lambda e: e.lookup_equal("Part", "p_size", 10).selectExpr("v.id AS id", "v.properties.p_name AS name"), "SELECT 'Part:'||p_partkey AS id, p_name AS name FROM part WHERE p_size=10"),
+    "lookup_range_method": (lambda e: e.lookup_range("Part", "p_size", 5, 9).selectExpr("v.id AS id"), "SELECT 'Part:'||p_partkey AS id FROM part WHERE p_size>=5 AND p_size<9"),
+    "lookup_range_open": (lambda e: e.lookup_range("Part", "p_size", None, 3).selectExpr("v.id AS id"), "SELECT 'Part:'||p_partkey AS id FROM part WHERE p_size<3"),
+    "lookup_intersection_method": (lambda e: e.lookup_intersection("Part", p_size=10, p_type="ECONOMY").selectExpr("v.id AS id"), "SELECT 'Part:'||p_partkey AS id FROM part WHERE p_size=10 AND p_type='ECONOMY'"),
+    "lookup_edge_equal_method": (lambda e: e.lookup_edge_equal("CONTAINS", "l_quantity", 7).selectExpr("e.src AS src", "e.dst AS dst", "e.properties.l_linenumber AS l"), "SELECT 'Order:'||l_orderkey AS src, 'Part:'||l_partkey AS dst, l_linenumber AS l FROM lineitem WHERE l_quantity=7"),
+    "default_bounds": ("MATCH (a:Nation)-[:TRADES]->(b:Nation) RETURN COUNT(*) AS n UNION ALL MATCH ANY SHORTEST (a:Nation)-[:TRADES]->(b:Nation) RETURN COUNT(*) AS n", f"WITH {_TRADES} SELECT count(*) AS n FROM trades UNION ALL SELECT count(*) FROM trades WHERE a<>b"),
+    "repeatable_elements": ("MATCH REPEATABLE ELEMENTS (a:Nation {n_nationkey: 1})-[:TRADES]->{3}(b:Nation) RETURN b.n_nationkey AS b, COUNT(*) AS n GROUP BY b.n_nationkey", f"WITH {_TRADES} SELECT z.b AS b, count(*) AS n FROM trades x JOIN trades y ON x.b=y.a JOIN trades z ON y.b=z.a WHERE x.a=1 GROUP BY 1"),
+    "count_paths": ("MATCH p = COUNT PATHS (a:Nation {n_regionkey: 2})-[:TRADES]->{1,2}(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, p AS n", f"WITH {_TRADES}, w AS (SELECT a, b FROM trades WHERE a<>b UNION ALL SELECT x.a, y.b FROM trades x JOIN trades y ON x.b=y.a WHERE x.a<>x.b AND x.a<>y.b AND x.b<>y.b) SELECT a, b, count(*) AS n FROM w JOIN nation ON n_nationkey=a WHERE n_regionkey=2 GROUP BY 1, 2"),
+    "any_k": ("MATCH ANY 2 (a:Nation {n_nationkey: 1})-[:TRADES]->{1,2}(b:Nation) RETURN b.n_nationkey AS b, COUNT(*) AS n GROUP BY b.n_nationkey", f"WITH {_TRADES}, w AS (SELECT b FROM trades WHERE a=1 AND b<>1 UNION ALL SELECT y.b FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=1 AND x.b<>1 AND y.b<>1 AND x.b<>y.b) SELECT b, least(2, count(*)) AS n FROM w GROUP BY 1"),
+    "simple_mode": ("MATCH SIMPLE (a:Nation {n_nationkey: 2})-[:TRADES]->{2}(b:Nation) RETURN COUNT(*) AS n", f"WITH {_TRADES} SELECT count(*) AS n FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=2 AND x.b<>2 AND x.b<>y.b"),
+    "keep_mode": ("MATCH (a:Nation {n_nationkey: 2})-[:TRADES]->{2}(b:Nation) KEEP TRAIL RETURN COUNT(*) AS n", f"WITH {_TRADES} SELECT count(*) AS n FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=2 AND NOT (x.a=y.a AND x.b=y.b)"),
+    "cost_of_hops": ("MATCH p = ANY SHORTEST (a:Nation {n_nationkey: 3})-[e:TRADES]->{1,2}(b:Nation) COST BY 1 RETURN b.n_nationkey AS b, PATH_LENGTH(p) AS n", f"WITH {_TRADES}, w AS (SELECT b, 1 AS n FROM trades WHERE a=3 AND b<>3 UNION ALL SELECT y.b, 2 FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=3 AND x.b<>3 AND y.b<>3 AND x.b<>y.b) SELECT b, CAST(min(n) AS BIGINT) AS n FROM w GROUP BY 1"),
+    "weighted_k": ("MATCH SHORTEST 2 (a:Nation {n_nationkey: 4})-[e:TRADES]->{1,2}(b:Nation) COST BY e.weight RETURN b.n_nationkey AS b, SUM(e.weight) AS w", f"WITH {_TRADES}, w AS (SELECT b, weight AS w FROM trades WHERE a=4 AND b<>4 UNION ALL SELECT y.b, x.weight+y.weight FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=4 AND x.b<>4 AND y.b<>4 AND x.b<>y.b), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY w) AS k FROM w) SELECT b, w FROM r WHERE k<=2"),
+    "weighted_all": ("MATCH ALL SHORTEST (a:Nation {n_nationkey: 5})-[e:TRADES]->{1,2}(b:Nation) COST BY e.trade_count RETURN b.n_nationkey AS b, SUM(e.trade_count) AS w", f"WITH {_TRADES}, w AS (SELECT b, trade_count AS w FROM trades WHERE a=5 AND b<>5 UNION ALL SELECT y.b, x.trade_count+y.trade_count FROM trades x JOIN trades y ON x.b=y.a WHERE x.a=5 AND x.b<>5 AND y.b<>5 AND x.b<>y.b) SELECT b, w FROM w WHERE w=(SELECT min(w) FROM w v WHERE v.b=w.b)"),
+    "three_paths": ("MATCH (n:Nation)<-[:LIVES_IN]-(c:Customer), (c)-[:PLACED]->(o:Order), (o)-[:CONTAINS]->(p:Part {p_size: 10}) RETURN n.n_name AS n, COUNT(*) AS c GROUP BY n.n_name", "SELECT n_name AS n, count(*) AS c FROM nation JOIN customer ON c_nationkey=n_nationkey JOIN orders ON o_custkey=c_custkey JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey WHERE p_size=10 GROUP BY 1"),
+    "set_chain": ("MATCH (c:Customer) RETURN c.c_nationkey AS n UNION MATCH (s:Supplier) RETURN s.s_nationkey AS n EXCEPT MATCH (m:Nation) WHERE m.n_nationkey < 5 RETURN CAST(m.n_nationkey AS INT32) AS n", "(SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey<5"),
+    "sum_distinct": ("MATCH (p:Part) RETURN p.p_brand AS b, SUM(DISTINCT p.p_size) AS s, AVG(DISTINCT p.p_size) AS a, COUNT(DISTINCT p.p_size) AS n GROUP BY p.p_brand", "SELECT p_brand AS b, CAST(sum(DISTINCT p_size) AS BIGINT) AS s, avg(DISTINCT p_size) AS a, count(DISTINCT p_size) AS n FROM part GROUP BY 1"),
+    "distinct_spread": ("MATCH (p:Part) RETURN p.p_brand AS b, ROUND(STDDEV_SAMP(DISTINCT p.p_size), 5) AS s, PERCENTILE_DISC(DISTINCT p.p_size, 0.5) AS d, PERCENTILE_CONT(DISTINCT p.p_size, 0.5) AS c GROUP BY p.p_brand", "SELECT p_brand AS b, round(stddev_samp(DISTINCT p_size),5) AS s, quantile_disc(DISTINCT p_size,0.5) AS d, quantile_cont(DISTINCT p_size,0.5) AS c FROM part GROUP BY 1"),
+    "percentile_of_keys": ("MATCH (o:Order) RETURN o.o_orderpriority AS p, PERCENTILE_DISC(o.o_orderkey, 0.9) AS k, PERCENTILE_DISC(o.o_orderstatus, 0.5) AS s GROUP BY o.o_orderpriority", "SELECT o_orderpriority AS p, quantile_disc(o_orderkey,0.9) AS k, quantile_disc(o_orderstatus,0.5) AS s FROM orders GROUP BY 1"),
+    "collect_distinct": ("MATCH (p:Part) RETURN p.p_type AS t, COLLECT_LIST(DISTINCT p.p_size ORDER BY p.p_size) AS l GROUP BY p.p_type", "SELECT p_type AS t, list(DISTINCT p_size ORDER BY p_size) AS l FROM part GROUP BY 1"),
+    "numeric_functions": ("MATCH (p:Part) LET x = p.p_retailprice / 7 - 100 RETURN p.p_partkey AS k, FLOOR(x) AS f, CEIL(x) AS c, SIGN(x) AS s, TRUNC(x) AS t, ROUND(ATAN2(x, 2.0), 6) AS a, ROUND(EXP(x / 1000), 6) AS e, POWER(2, MOD(p.p_size, 10)) AS w", "SELECT p_partkey AS k, CAST(floor(x) AS BIGINT) AS f, CAST(ceil(x) AS BIGINT) AS c, CAST(sign(x) AS DOUBLE) AS s, trunc(x) AS t, round(atan2(x,2),6) AS a, round(exp(x/1000),6) AS e, pow(2,p_size%10) AS w FROM (SELECT p_partkey, p_size, p_retailprice/7-100 AS x FROM part)"),
+    "trigonometry": ("MATCH (n:Nation) LET x = (n.n_nationkey + 1) / 30.0 RETURN n.n_nationkey AS k, ROUND(ASIN(x), 6) AS a, ROUND(ACOS(x), 6) AS b, ROUND(COT(x), 5) AS c, ROUND(SINH(x), 6) AS d, ROUND(COSH(x), 6) AS e, ROUND(TANH(x), 6) AS f", "SELECT CAST(n_nationkey AS BIGINT) AS k, round(asin(x),6) AS a, round(acos(x),6) AS b, round(cot(x),5) AS c, round(sinh(x),6) AS d, round(cosh(x),6) AS e, round(tanh(x),6) AS f FROM (SELECT n_nationkey, (n_nationkey+1)/30.0 AS x FROM nation)"),
+    "list_trim": ("MATCH (n:Nation)-[:NATION_IN]->(r:Region) RETURN r.r_name AS r, TRIM(COLLECT_LIST(n.n_nationkey ORDER BY n.n_nationkey), 2) AS l GROUP BY r.r_name", "SELECT r_name AS r, list_slice(l, 1, len(l)-2) AS l FROM (SELECT r_name, list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey) AS l FROM nation JOIN region ON n_regionkey=r_regionkey GROUP BY 1)"),
+    "property_exists": ("MATCH (n:Nation) LET x = n.n_name RETURN n.n_nationkey AS k, PROPERTY_EXISTS(n, n_name) AS a, PROPERTY_EXISTS(n, nothing) AS b", "SELECT CAST(n_nationkey AS BIGINT) AS k, TRUE AS a, FALSE AS b FROM nation"),
+    "normalized_text": ("MATCH (t:Doc) RETURN t.doc_id AS d, NORMALIZE(t.source || 'e\u0301', NFC) AS s, t.source IS NFC NORMALIZED AS y, NORMALIZE(t.lang, NFD) AS l", "SELECT doc_id AS d, nfc_normalize(source||'e'||chr(769)) AS s, TRUE AS y, lang AS l FROM documents"),
+    "session_values": (lambda e: e.gql("MATCH (r:Region) RETURN r.r_name AS r, SESSION_USER IS NULL AS u, CURRENT_DATE IS NOT NULL AS d, CURRENT_TIMESTAMP IS NOT NULL AS t, LOCAL_TIMESTAMP IS NOT NULL AS l"), "SELECT r_name AS r, TRUE AS u, TRUE AS d, TRUE AS t, TRUE AS l FROM region"),
+    "temporal_values": ("MATCH (o:Order) LET d = CAST(o.o_orderdate AS DATE) RETURN o.o_orderkey AS k, d >= DATE '1997-01-01' AS a, o.o_orderdate < LOCAL_DATETIME '1998-06-01T12:00:00' AS b, DURATION 'P1Y2M' = DURATION('P14M') AS c, (DURATION_BETWEEN(LOCAL_DATETIME '1995-01-15T00:00:00', o.o_orderdate) YEAR TO MONTH).months AS m", "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE)>=DATE '1997-01-01' AS a, o_orderdate<TIMESTAMP '1998-06-01 12:00:00' AS b, TRUE AS c, CAST(CASE WHEN o_orderdate>=TIMESTAMP '1995-01-15' THEN datesub('month', TIMESTAMP '1995-01-15', o_orderdate) ELSE -datesub('month', o_orderdate, TIMESTAMP '1995-01-15') END AS INTEGER) AS m FROM orders"),
+    "path_functions": ("MATCH p = (a:Turn {turn_no: 0})-[:NEXT]->{2}(b:Turn) RETURN a.turn_key AS a, SIZE(NODES(p)) AS n, SIZE(EDGES(p)) AS e, SIZE(ELEMENTS(p)) AS x, NODES(p)[0] AS first, NODES(p)[-1] AS last", f"WITH {_TURNS} SELECT a.k AS a, CAST(3 AS BIGINT) AS n, CAST(2 AS BIGINT) AS e, CAST(5 AS BIGINT) AS x, 'Turn:'||a.k AS first, 'Turn:'||(a.k+2) AS last FROM turns a JOIN turns b ON b.k=a.k+2 AND b.conv_id=a.conv_id JOIN turns c ON c.k=a.k+1 WHERE a.turn=0"),
+    "path_constructor": ("MATCH (c:Customer)-[e:LIVES_IN]->(n:Nation {n_nationkey: 3}) LET p = PATH[c, e, n] RETURN c.c_custkey AS k, PATH_LENGTH(p) AS l, NODES(p)[1] AS n", "SELECT c_custkey AS k, CAST(1 AS BIGINT) AS l, 'Nation:3' AS n FROM customer WHERE c_nationkey=3"),
+    "search_bytes": (lambda e: _bytes(e), "SELECT TRUE AS near, TRUE AS ordered, CAST(10 AS BIGINT) AS n"),
+    "vector_method": (lambda e: e.vector_search("vec_l2", list(e.gql("MATCH (v:Vec {vec_id: 5}) RETURN v.embedding AS q").first()["q"]), 7).selectExpr("id", "round(d, 4) AS d"), f"SELECT 'Vec:'||y.vec_id AS id, round({_DIST},4) AS d FROM embeddings x, embeddings y WHERE x.vec_id=5 ORDER BY {_DIST}, y.vec_id LIMIT 7"),
+    "search_many": (lambda e: _many(e), "SELECT least(1024, count(*)) AS n FROM embeddings"),
+    "maintenance_call": ("MATCH (r:Region) CALL admin.DRAIN_DEFERRED() YIELD done RETURN r.r_name AS r, done", "SELECT r_name AS r, CAST(0 AS BIGINT) AS done FROM region"),
+    "remove_property_rows": (_changed("MATCH (n:Nation) WHERE n.n_regionkey = 2 REMOVE n.n_name", "MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS n"), "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_regionkey<>2 THEN n_name END AS n FROM nation"),
+    "type_predicates_by_row": ("MATCH (o:Order) RETURN o.o_orderkey AS k, o.o_totalprice IS TYPED FLOAT64 AS f, o.o_orderstatus IS NOT TYPED INT64 AS s", "SELECT o_orderkey AS k, TRUE AS f, TRUE AS s FROM orders"),
+    "delete_refused": (lambda e: _refused(e, "MATCH (r:Region {r_name: 'ASIA'}) DELETE r"), "SELECT r_name AS r FROM region"),
+    "delete_vertices": (_changed("MATCH (d:Doc) WHERE d.lang = 'en' DELETE d", "MATCH (d:Doc) RETURN d.lang AS lang, COUNT(*) AS n GROUP BY d.lang"), "SELECT lang, count(*) AS n FROM documents WHERE lang<>'en' GROUP BY 1"),
+    "constraint_refused": (lambda e: _constrained(e), "SELECT count(*) AS n FROM region"),
+    "graph_ddl": (_changed("CREATE GRAPH TYPE places { (:Town {name STRING}) }", "CREATE GRAPH towns TYPED places", "DROP GRAPH towns", "CREATE GRAPH copied LIKE default", "MATCH (n:Nation) RETURN n.n_name AS n"), "SELECT n_name AS n FROM nation"),
+    "index_ddl": (_changed("CREATE INDEX by_size FOR (p:Part) ON (p.p_size)", "DROP INDEX by_size", "MATCH (p:Part {p_size: 4}) RETURN p.p_partkey AS k"), "SELECT p_partkey AS k FROM part WHERE p_size=4"),
+    "rollback": (_changed("START TRANSACTION", "MATCH (n:Nation) SET n.n_name = 'gone'", "CREATE INDEX lost FOR (p:Part) ON (p.p_size)", "ROLLBACK", "CREATE INDEX lost FOR (p:Part) ON (p.p_size)", "MATCH (n:Nation) RETURN n.n_name AS n"), "SELECT n_name AS n FROM nation"),
+    "insertion_order_first": (lambda e: e.gql("MATCH (c:Customer)-[e:PLACED]->(o) ORDER BY INSERTION(e) RETURN o.o_orderkey AS k").limit(30), "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey=c_custkey ORDER BY o_orderkey LIMIT 30"),
 }

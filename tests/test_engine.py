@@ -319,3 +319,32 @@ def test_ends_are_not_read(spark, tmp_path):
     eng = Engine(spark, Graph().with_vertices("P", spark.read.parquet(str(tmp_path / "v")), "id").with_edges("E", e, ("P", "a"), ("P", "b")))
     df = eng.gql("MATCH (a:P)-[:E]->(b:P) RETURN COUNT(*) AS n")
     assert "parquet" not in df._jdf.queryExecution().toString().lower() and df.first()[0] == 1
+
+
+def test_match_modes_and_counted_paths(spark):
+    d = Engine(spark, diamond(spark))
+    q = "MATCH {} (a:N {{id: 1}})-[:E]->{{2}}(b) RETURN COUNT(*) AS n"
+    assert rows(d, q.format("")) == [(4,)]
+    assert rows(d, q.format("REPEATABLE ELEMENTS")) == [(5,)]
+    assert rows(d, q.format("REPEATABLE ELEMENTS ACYCLIC")) == [(4,)]
+    assert rows(d, "MATCH p = COUNT PATHS (a:N {id: 1})-[:E]->{1,2}(b:N) RETURN b.id AS b, p AS n") == [(2, 1), (3, 1), (4, 4), (5, 1), (6, 1)]
+    assert rows(d, "MATCH (a:N {id: 1}) MATCH COUNT PATHS (a)-[:E]->{2}(b:N {id: 4}) RETURN a.id AS a, b.id AS b") == [(1, 4)]
+    with pytest.raises(GraphQueryError):
+        d.gql("MATCH REPEATABLE ELEMENTS (a:N)-[:E]->*(b) RETURN COUNT(*) AS n")
+
+
+def test_paths_without_turns_come_first(spark, eng):
+    """Pairs of all who live in one place are made only if nothing joins them otherwise."""
+    q = "MATCH (a:Person)-[:LIVES]->(p)<-[:LIVES]-(b:Person), (a)-[k:KNOWS]->(b) RETURN a.name AS a, b.name AS b, k.w AS w"
+    assert rows(eng, q) == [("Ann", "Bob", 3), ("Ann", "Bob", 5)]
+    assert rows(eng, "MATCH (a:Person)-[:LIVES]->(p)<-[:LIVES]-(b:Person WHERE b.age IS NULL), (c:Person WHERE c.id > a.id)-[:KNOWS]->(b) RETURN a.name AS a, c.name AS c") == []
+
+
+def test_rollback_takes_all_back(spark):
+    e = Engine(spark, social(spark))
+    e.execute("START TRANSACTION")
+    e.execute("CREATE INDEX by_age FOR (p:Person) ON (p.age)")
+    e.execute("CREATE GRAPH other LIKE default")
+    e.execute("MATCH (p:Person) SET p.name = 'x'")
+    e.execute("ROLLBACK")
+    assert not e.catalog.indexes and list(e.catalog.graphs) == ["default"] and ("Ann",) in rows(e, "MATCH (p:Person) RETURN p.name AS n")
