@@ -20,16 +20,21 @@ from .components import components
 SEED = 42
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """XXH64 of every word shingle of the text, A-Z lower-cased; of fewer words, one of all."""
+def shingles(text: str, words: int, distinct: bool = False) -> np.ndarray:
+    """XXH64 of every word shingle of the text, A-Z lower-cased; of fewer words, one of all.  distinct: of each once."""
     w = text.encode().lower().split()
-    rows = ([b" ".join(w)] if w else []) if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+    if len(w) < words:
+        rows = [b" ".join(w)] if w else []
+    else:
+        rows = w if words == 1 else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+    if distinct:
+        rows = set(rows)
     return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in rows), np.uint64, len(rows))
 
 
 def fingerprint(text: str, words: int = 3, distinct: bool = False) -> int:
     """Bit by bit the majority of XXH64 over the word shingles of the text, A-Z lower-cased; no word: 0.  distinct: repeats count once."""
-    h = np.unique(shingles(text, words)) if distinct else shingles(text, words)
+    h = shingles(text, words, distinct)
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
