@@ -2,7 +2,8 @@
 
 Equal windows of ``length`` bytes have the same least k-gram hash (minimizer), so the text is cut into
 segments of neighbouring windows that share one, and windows can only repeat within the segments of one
-minimizer.  Equal segments collapse into one with a count.  Where different segments share a minimizer, a
+minimizer.  Equal segments collapse into one with a count, and where it is above one all their windows are
+repeated; where all segments of a minimizer are equal that is all there is to know.  Where different segments share a minimizer, a
 run-compressed Burrows-Wheeler transform is built over them: only at the ends of its runs are the suffix
 array and the common prefix with the next suffix sampled, and matching statistics of every position, its
 own suffix excluded, stream from these samples, since between samples they fall by one each byte.
@@ -179,11 +180,20 @@ def _runs_of(mask: np.ndarray) -> bytes:
     return edge.astype("<i4").tobytes()
 
 
+def _full(n: int) -> bytes:
+    return np.array([0, n], "<i4").tobytes()
+
+
 def marked(texts: list[bytes], counts: list[int], length: int) -> list[bytes | None]:
-    """For each distinct text the runs of its windows that occur elsewhere; a text with copies stands in the index twice."""
-    index = RunIndex(texts + [t for t, c in zip(texts, counts, strict=True) if c > 1])
+    """For each distinct text the runs of its windows that occur elsewhere; those of a text with copies all do."""
+    index = RunIndex(texts)
     stat = index.statistics() >= length
-    return [_runs_of(stat[at : at + len(t) - length + 1]) or None for t, at in zip(texts, index.starts.tolist(), strict=False)]
+    out: list[bytes | None] = []
+    for t, c, at in zip(texts, counts, index.starts.tolist(), strict=True):
+        n = len(t) - length + 1
+        runs = _full(n) if c > 1 else _runs_of(stat[at : at + n])
+        out.append(runs or None)
+    return out
 
 
 _SEGMENT = "mh long, sh long, o1 long, o2 long, start int, windows int, c long, twice boolean"
@@ -247,7 +257,7 @@ def _indexed(cut: DataFrame, length: int, index_bytes: int) -> DataFrame:
                 sh.append(s)
                 counts.append(c)
                 texts.append(t)
-                size += len(t) * (2 if c > 1 else 1)
+                size += len(t)
         if texts:
             yield flush()
         trim()
@@ -262,9 +272,7 @@ def repeated_windows(owners: DataFrame, length: int, grams: tuple[int, ...], ind
     """
     segs = stored(_segment_rows(owners, grams[0], length), "segments")
     # written, so that both sides of the join are plain shuffles, whose hot keys are split
-    # where the k-gram is the window itself, segments of one minimizer are equal, and need no index
-    alone = "a = b AND n > 1" if len(grams) == 1 else "false"
-    per = stored(segs.groupBy("mh").agg(F.sum("c").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("twice").alias("t")).where("n > 1 OR t").selectExpr("mh AS g", f"{alone} AS alike"), "minimizers")
+    per = stored(segs.groupBy("mh").agg(F.sum("c").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b"), F.max("twice").alias("t")).where("n > 1 OR t").selectExpr("mh AS g", "a = b AND n > 1 AS alike"), "minimizers")
     shared = stored(segs.join(per, F.col("mh") == F.col("g")).drop("g", "twice"), "shared")
     alike = shared.where("alike").select("o1", "o2", "start", "windows").distinct()
     unlike = shared.where("NOT alike")
