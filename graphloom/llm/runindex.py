@@ -3,11 +3,11 @@
 Equal windows of ``length`` bytes have the same least k-gram hash (minimizer), so the text is cut into
 segments of neighbouring windows that share one, and windows can only repeat within the segments of one
 minimizer.  Equal segments collapse into one with a count, and where it is above one all their windows are
-repeated; where all segments of a minimizer are equal that is all there is to know.  Where different segments share a minimizer, a
-run-compressed Burrows-Wheeler transform is built over them: only at the ends of its runs are the suffix
-array and the common prefix with the next suffix sampled, and matching statistics of every position, its
-own suffix excluded, stream from these samples, since between samples they fall by one each byte.
-Windows with a match of ``length`` bytes or more are marked.
+repeated; where all segments of a minimizer are equal that is all there is to know.  Where different
+segments share a minimizer, a run-compressed Burrows-Wheeler transform is built over them: only at the ends
+of its runs are the suffix array and the common prefix with the next suffix sampled, and matching statistics
+of every position, its own suffix excluded, stream from these samples, since between samples they fall by
+one each byte.  Windows with a match of ``length`` bytes or more are marked.
 
 A minimizer with more text than one index should hold is cut again with longer k-grams, until the k-gram is
 the window itself and all segments of a group are equal.  So no group is too large and none is cut short.
