@@ -267,6 +267,29 @@ def test_search_small_and_empty(spark):
     assert hamming.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_search_of_many_queries_broadcasts_no_probes(spark, monkeypatch):
+    """Probes are hundreds of times the queries, whatever Spark expects: a round of many is joined by shuffles."""
+    rounds, stored = [], hamming.stored
+
+    def noted(df, what):
+        if what == "best":
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, what)
+
+    monkeypatch.setattr(hamming, "stored", noted)
+    v = np.random.default_rng(3).standard_normal((3000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in hamming.search(df, df.where("vec_id % 3 = 0"), 10).collect())
+    code = np.packbits(v > 0, axis=1).view(np.uint64)[:, 0]
+    want = []
+    for q in range(0, 3000, 3):
+        d = np.bitwise_count(code ^ code[q]).astype(int)
+        d[q] = 65
+        want += [(q, r + 1, int(i), int(d[i])) for r, i in enumerate(np.argsort(d, kind="stable")[:10])]
+    assert got == want
+    assert "BroadcastHashJoin" not in rounds[2] and "SortMergeJoin" in rounds[2]  # 1,000 queries, 7 segments, 36 masks
+
+
 # 6: rules
 def test_rule_features():
     assert rules.features("") == (0, 0, 0, 0, 0)
