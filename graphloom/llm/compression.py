@@ -85,8 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: i
     """Learn from labelled documents outside the held-out fifth; None if either class has fewer than 8.
 
     The sample is bounded: of each class the per_class documents with the smallest hash of their id, of these
-    those of at most longest bytes, and of these, in that order, as many as make most_bytes.  Every second of them goes into a dictionary, the
-    others calibrate.  Class shares come from all labels.
+    those of at most longest bytes, and of these, in that order, as many as make most_bytes.  Repeated rows
+    count once, and only what is taken comes to the driver.  Every second of them goes into a dictionary,
+    the others calibrate.  Class shares come from all labels.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").where(f"NOT ({HELD_OUT})").distinct()
     share = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -94,14 +95,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: i
         return None
     drawn = [marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * per_class rows of two numbers
-    rows = text_rows(docs).join(picked, "doc_id").where(f"text <> '' AND octet_length(text) <= {longest}").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    # numbers first: texts come to the driver only when it is known which, so never more than 2 * most_bytes
+    sized = text_rows(docs).join(picked, "doc_id").where(f"text <> '' AND octet_length(text) <= {longest}").select("doc_id", "quality", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t"))
     size = {0: 0, 1: 0}
-    for r in rows.toLocalIterator():
-        raw = r["text"].encode()
-        if size[r["quality"]] + len(raw) <= most_bytes:
-            texts[r["quality"]].append(raw)
-            size[r["quality"]] += len(raw)
+    chosen = []
+    for r in sized.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(2 * per_class).collect():
+        if size[r["quality"]] + r["size"] <= most_bytes:
+            chosen.append(r)
+            size[r["quality"]] += r["size"]
+    want = docs.sparkSession.createDataFrame([(r["doc_id"], r["t"]) for r in chosen], "want_d long, want_t long").distinct()
+    found = text_rows(docs).withColumn("t", F.xxhash64("text")).join(F.broadcast(want), (F.col("doc_id") == F.col("want_d")) & (F.col("t") == F.col("want_t")))
+    text = {(r["doc_id"], r["t"]): r["text"].encode() for r in found.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]).collect()}
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in chosen:
+        texts[r["quality"]].append(text[r["doc_id"], r["t"]])
     if min(map(len, texts.values())) < 8:
         return None
     made = []

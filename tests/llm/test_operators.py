@@ -343,6 +343,22 @@ def test_classifier(spark, odd, none):
     assert len(unlearnt) == 400 and all(r["score"] == 0.5 and r["predicted"] == 1 for r in unlearnt)
 
 
+def test_classifier_learns_from_long_and_repeated_rows(spark):
+    """Long labelled texts don't all go to the driver, and a row that is repeated is learnt from once."""
+    rng = random.Random(29)
+    rows = [(i, f"{prose(rng, 40)} {'good' if i % 2 else 'b#d'} {rng.randbytes(20_000).hex()}", "en", "s", 0) for i in range(400)]
+    d = spark.createDataFrame(rows, DOCS)
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "6m")  # the texts have 16 MB, those that are taken 2
+    try:
+        model = compression.fit(d, lab, most_bytes=1 << 20)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert model == compression.fit(d.unionByName(d).unionByName(d), lab, most_bytes=1 << 20)
+
+
 # 8: SimHash
 def plain_classes(fps):
     """The smallest id reachable by links of at most two bits."""
