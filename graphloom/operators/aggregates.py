@@ -32,8 +32,11 @@ def _compare(keys: list[tuple[bool, bool | None]]):
     return run
 
 
-def aggregate(name: str, args: list[Column], distinct: bool, keep: Column | None = None, order: list[tuple[Column, bool, bool | None]] | None = None) -> Column:
-    """keep: only rows where it is true count; order: that of a collected list."""
+def aggregate(name: str, args: list[Column], distinct: bool, keep: Column | None = None, order: list[tuple[Column, bool, bool | None]] | None = None, times: Column | None = None) -> Column:
+    """keep: only rows where it is true count; order: that of a collected list; times: how many rows each row counts for."""
+    if times is not None and name in ("COUNT(*)", "COUNT") and not distinct:
+        there = keep if name == "COUNT(*)" else _when(args[0], keep).isNotNull()
+        return F.coalesce(F.sum(_when(times, there)), F.lit(0).cast("long"))
     if name == "COUNT(*)":
         return F.count(_when(F.lit(1), keep))
     x = _when(args[0], keep)

@@ -17,6 +17,7 @@ from ..graph import Catalog, Graph, col
 from ..operators.aggregates import aggregate, ordering
 from ..operators.sets import combine
 from ..operators.vectors import nearest
+from .counting import Counting
 from .expressions import Expressions
 from .patterns import Patterns
 from .scope import Binding, GraphQueryError, Rows, all_of, uses
@@ -37,7 +38,7 @@ def has_aggregate(e: Any, over_list: Callable[[Expr], bool] = lambda e: False) -
     return False
 
 
-class Compiler(Patterns):
+class Compiler(Counting, Patterns):
     def __init__(self, spark: SparkSession, catalog: Catalog, graph: Graph, params: dict[str, Any], session: dict[str, Any] | None = None, functions: dict | None = None, procedures: dict[str, Callable] | None = None):
         self.spark, self.catalog, self.graph, self.params = spark, catalog, graph, params
         self.session, self.functions, self.procedures = session or {}, functions or {}, procedures or {}
@@ -104,8 +105,11 @@ class Compiler(Patterns):
         return Rows(df, {n: Binding("value", n) for n in names})
 
     def linear(self, q: A.Linear, rows: Rows, keep: list[str]) -> Rows:
-        graph = self.graph
+        graph, before = self.graph, (self.counts, self.times)
         clauses = list(q.clauses)
+        self.counts, self.times = self.only_counts(clauses, rows, keep), None
+        if self.counts:
+            clauses = self.pieces(clauses)
         try:
             for i, c in enumerate(clauses):
                 nxt = clauses[i + 1] if i + 1 < len(clauses) else None
@@ -122,10 +126,12 @@ class Compiler(Patterns):
                     rows = rows.at(self.paged(self.frame(rows), c[1], self.sort_keys(rows, c[0]), keep))
                 elif isinstance(c, A.Page):
                     rows = rows.at(self.paged(self.frame(rows), c, None, keep))
+                elif self.counts and isinstance(c, A.Match):
+                    rows = self.folded(self.clause(c, rows, keep), clauses[: i + 1], clauses[i + 1 :])
                 else:
                     rows = self.clause(c, rows, keep)
         finally:
-            self.graph = graph
+            self.graph, (self.counts, self.times) = graph, before
         return rows
 
     def clause(self, c: Any, rows: Rows, keep: list[str]) -> Rows:
@@ -564,7 +570,7 @@ class Compiler(Patterns):
                 df = df.withColumn(x, args[0] if k is None else F.when(k, args[0]))
                 calc.append(F.expr(f"percentile_disc({float(share)!r}D) WITHIN GROUP (ORDER BY `{x}`)").cast(kind).alias(at))
             else:
-                calc.append(aggregate(a.data["name"], args, a.data["distinct"], k, by).alias(at))
+                calc.append(aggregate(a.data["name"], args, a.data["distinct"], k, by, None if self.times is None else col(self.times)).alias(at))
         calc += [F.first(c).alias(n) for n, c in {**carried, **rest}.items() if n not in keys]
         if not calc:
             calc = [F.count(F.lit(1)).alias(self.fresh("rows"))]
