@@ -127,7 +127,9 @@ class Compiler(Counting, Patterns):
                 elif isinstance(c, A.Page):
                     rows = rows.at(self.paged(self.frame(rows), c, None, keep))
                 elif self.counts and isinstance(c, A.Match):
-                    rows = self.folded(self.clause(c, rows, keep), clauses[: i + 1], clauses[i + 1 :])
+                    counted = self.counted_optional(c, rows, nxt) if c.optional and isinstance(nxt, A.Return) else None
+                    rows = counted or self.clause(c, rows, keep)
+                    rows = self.folded(rows, clauses[: i + 1], clauses[i + 1 :])
                 else:
                     rows = self.clause(c, rows, keep)
         finally:

@@ -2,7 +2,9 @@
 
 Two edges into one node, or out of it, pair all of the one side with all of the other.  Where the result needs
 no more of the pairs than how many they are, the first side is counted for each node before the second is
-joined.
+joined; and what an OPTIONAL MATCH finds is counted for each of its starts before it is joined back.  If its
+condition compares a property of what it finds with one of an outer vertex, those counts are running sums in
+the order of the property, so that no pair is made at all.
 """
 
 from __future__ import annotations
@@ -10,12 +12,15 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..gql import ast as A
 from ..gql.ast import Expr
 from ..graph import col
-from .scope import Rows, pattern_vars, uses
+from .scope import Binding, Rows, pattern_vars, uses
+
+_SWAPPED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 def _exprs(x: Any) -> list[Expr]:
@@ -36,6 +41,21 @@ def _sides(matches: list[A.Match], at: str, kept: list[str]) -> set[str]:
     return out
 
 
+def _only_counted(x: Any, names: set[str]) -> bool:
+    """Whether the variables are named in COUNT(variable) at most."""
+    if isinstance(x, Expr):
+        if x.kind == "var":
+            return x.data not in names
+        if x.kind == "agg" and x.data["name"] == "COUNT" and not x.data["distinct"] and x.args[0].kind == "var":
+            return _only_counted(x.data, names)
+        return _only_counted(x.args, names) and _only_counted(x.data, names)
+    if isinstance(x, dict):
+        return all(_only_counted(y, names) for y in x.values())
+    if isinstance(x, (list, tuple)):
+        return all(_only_counted(y, names) for y in x)
+    return not hasattr(x, "__dataclass_fields__") or all(_only_counted(getattr(x, f), names) for f in x.__dataclass_fields__)
+
+
 class Counting:
     """counts: whether the query at hand only counts; times: the column with the number of rows that a row stands for."""
 
@@ -114,6 +134,66 @@ class Counting:
     def _whole(self, m: A.Match) -> A.Match:
         return replace(m, pattern=replace(m.pattern, paths=[replace(p, parts=self.normalized(p.parts)) for p in m.pattern.paths]))
 
+    def counted_optional(self, c: A.Match, rows: Rows, r: A.Return) -> Rows | None:
+        """The rows beside the number of their matches; None where r asks more of the matches than that."""
+        new = {x.var: "vertex" if isinstance(x, A.Node) else "edge" for x in A.walk(c.pattern) if isinstance(x, (A.Node, A.Edge)) and x.var and x.var not in rows.env}
+        if rows.df is None or not _only_counted(r, set(new)):
+            return None
+        found = self._by_order(c, rows, new) or self._by_start(c, rows)
+        if found is None:
+            return None
+        sub, names, m = found
+        df = self.joined_back(rows, sub, names, "left")
+        times = self.fresh("times")
+        n = F.coalesce(col(m), F.lit(1).cast("long"))
+        df = df.withColumn(times, n if self.times is None else n * col(self.times))
+        self.times = times
+        env = {v: Binding(kind, self.fresh(v), (), True, graph=self.graph) for v, kind in new.items()}
+        ids = {}
+        for b in env.values():  # who matched isn't asked, but whether anything did is
+            t, k = b.identity()
+            ids |= {t: F.lit(0), k: F.when(col(m).isNotNull(), F.lit(0).cast("long"))}
+        return Rows(df.withColumns(ids).drop(m), rows.env | env)
+
+    def _by_start(self, c: A.Match, rows: Rows) -> tuple[DataFrame, dict[str, str], str] | None:
+        start, keep, names = self.seeds(rows, [replace(c, optional=False)])
+        if not keep:
+            return None
+        m = self.fresh("matches")
+        out = self.match(start, c.pattern)
+        return out.df.groupBy(*map(col, keep)).agg(F.count(F.lit(1)).alias(m)), names, m
+
+    def _by_order(self, c: A.Match, rows: Rows, new: dict[str, str]) -> tuple[DataFrame, dict[str, str], str] | None:
+        """Where the condition is an inequality between a found and an outer property: counts of the values before each.
+
+        A window holds the different values that one start's matches, and its outer vertices, have.
+        """
+        w = c.pattern.where
+        if w is None or w.kind != "cmp" or w.data not in _SWAPPED or any(x.kind != "prop" or x.args[0].kind != "var" for x in w.args):
+            return None
+        inner, outer, op = (*w.args, w.data) if w.args[0].args[0].data in new else (*reversed(w.args), _SWAPPED[w.data])
+        bare = replace(c, optional=False, pattern=replace(c.pattern, where=None))
+        of = outer.args[0].data
+        if inner.args[0].data not in new or of not in rows.env or rows.env[of].kind not in ("vertex", "edge") or of in uses(bare) or of in pattern_vars(bare):
+            return None
+        value = f"{rows.env[of].at}@p@{outer.data}"
+        start, keep, names = self.seeds(rows, [bare])
+        if not keep or value not in rows.df.columns:
+            return None
+        v, n, p, m = (self.fresh(x) for x in ("value", "n", "asked", "matches"))
+        found = self.match(start, bare.pattern)
+        found = found.df.select(*map(col, keep), self.expressions(inner, found).alias(v))
+        asked = rows.df.select(*(col(a).alias(b) for a, b in names.items()), col(value).alias(v))
+        if found.schema[v].dataType != asked.schema[v].dataType:
+            return None
+        # equal values first become one row with their number
+        both = found.select("*", F.lit(1).alias(n), F.lit(0).alias(p)).unionByName(asked.select("*", F.lit(0).alias(n), F.lit(1).alias(p))).where(col(v).isNotNull())
+        both = both.groupBy(*map(col, keep), col(v)).agg(F.sum(n).alias(n), F.max(p).alias(p))
+        order = col(v).desc() if op in (">", ">=") else col(v).asc()
+        so_far = F.sum(col(n)).over(Window.partitionBy(*map(col, keep)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sub = both.withColumn(m, so_far if op in (">=", "<=") else so_far - col(n)).where((col(p) == 1) & (col(m) > 0)).drop(n, p)
+        return sub, {**names, value: v}, m
+
 
 def _turned(p: A.Path) -> int:
     return len(_cut(p))
